@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing"]
+MODULES = ["urls", "quality_rules", "warc", "packing"]
 
 
 def _modules():
