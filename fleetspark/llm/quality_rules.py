@@ -36,7 +36,7 @@ REACH, LEAST_GROUP = 3.0, 50
 #: measure: the value's SQL, the least spread of q75 - q25, whether low values are outliers too.
 MEASURES = {
     "symbols": ("floor(1000 * n_symbols / greatest(word_chars, 1))", 20.0, False),
-    "repeats": ("floor(1000 * n_repeat_words / greatest(n_words, 1))", 60.0, False),
+    "repeats": ("floor(1000 * n_repeat_words / greatest(n_words, 1))", 120.0, False),
     "length": ("floor(100 * word_chars / greatest(n_words, 1))", 60.0, True),
 }
 #: Group rows (languages times sources) that are broadcast to the documents; beyond that Spark joins by a shuffle.

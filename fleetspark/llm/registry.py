@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["urls", "quality_rules", "warc", "packing"]
+MODULES = ["toxicity", "urls", "decontamination", "quality_rules", "warc", "quality", "packing"]
 
 
 def _modules():
