@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "urls", "decontamination", "quality_rules", "warc", "quality", "packing"]
+MODULES = ["toxicity", "urls", "decontamination", "quality_rules", "warc", "quality", "secrets", "packing"]
 
 
 def _modules():
