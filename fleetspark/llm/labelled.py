@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.llm.shared import hash_sample
+
 
 def fold(modulus: int) -> Column:
     """The remainder that says whether a row is held out; null for a null doc_id."""
@@ -20,7 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(modulus) != held_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(label))
-    picked = known.where("y = 1").orderBy(order).limit(rows // 2).unionByName(known.where("y = 0").orderBy(order).limit(rows - rows // 2))
+    picked = hash_sample(known.where("y = 1"), order, rows // 2).unionByName(hash_sample(known.where("y = 0"), order, rows - rows // 2))
     # at most ``rows`` rows, whatever the size of labels
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
 

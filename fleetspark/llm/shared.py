@@ -67,6 +67,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of df with the smallest hashes ``by`` (a long). Rows beyond four times their share go before the sort, so that what tasks send on stays about that size however many there are."""
+    share = 4 * rows / max(1, df.count())
+    if share < 1:
+        df = df.where(by < int((share * 2 - 1) * 2**63))
+    return df.orderBy(by).limit(rows)
+
+
 def small_batches(batches: Iterable, most_bytes: int = 4 << 20):
     """Arrow record batches in slices of about that many bytes, so that very long texts don't meet in one Python list."""
     for batch in batches:

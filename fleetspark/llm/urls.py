@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import ascii_lower, table
+from fleetspark.llm.shared import ascii_lower, hash_sample, table
 
 #: Of the contract: host, path, verdict.
 RULES = [
@@ -50,7 +50,7 @@ def host_key(host: Column) -> Column:
 
 def _ranges(keyed: DataFrame, n: int) -> list[tuple[str, int]]:
     """n - 1 cuts at most, from a bounded sample in hash order."""
-    sample = sorted((r["key"].encode(), r["salt"]) for r in keyed.select("key", "salt").orderBy("salt").limit(n * SAMPLE_PER_RANGE).collect())
+    sample = sorted((r["key"].encode(), r["salt"]) for r in hash_sample(keyed.select("key", "salt"), F.col("salt"), n * SAMPLE_PER_RANGE).collect())
     # salts of a sample in hash order are all small: within a key they are replaced by even steps over the hash's range
     cuts, size = [], max(1, len(sample) // n)
     for i in range(size, len(sample), size):

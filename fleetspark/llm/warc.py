@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import new_folder, small_batches, table, written
+from fleetspark.llm.shared import hash_sample, new_folder, small_batches, table, written
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC, FRAME_MAGIC, PLAIN_DICTIONARY_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -186,8 +186,9 @@ def train_dictionary(pages: DataFrame, payload_column: str) -> bytes:
     """A dictionary from a bounded sample of payloads in hash order; empty where there is too little to learn from."""
     import zstandard
 
-    rows = pages.select(F.substring(F.encode(F.col(payload_column), "UTF-8"), 1, DICTIONARY_PAYLOAD_BYTES).alias("p")).where(F.length("p") > 0)
-    samples = [bytes(r["p"]) for r in rows.orderBy(F.xxhash64("p")).limit(DICTIONARY_PAYLOADS).collect()]
+    rows = pages.where(F.octet_length(payload_column) > 0)
+    picked = hash_sample(rows, F.xxhash64(payload_column), DICTIONARY_PAYLOADS)
+    samples = [bytes(r["p"]) for r in picked.select(F.substring(F.encode(F.col(payload_column), "UTF-8"), 1, DICTIONARY_PAYLOAD_BYTES).alias("p")).collect()]
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
         return b""
     try:
