@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["minhash", "toxicity", "urls", "decontamination", "quality_rules", "warc", "quality", "secrets", "packing"]
+MODULES = ["minhash", "toxicity", "urls", "decontamination", "quality_rules", "warc", "quality", "secrets", "substrings", "packing"]
 
 
 def _modules():
