@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetspark.llm.shared import ascii_lower, broadcast_if_small, table, written
+from fleetspark.llm.shared import ascii_lower, broadcast_if_small, fresh, table, written
 
 WINDOW = 10
 #: Separators of words, once A-Z is lower-cased.
@@ -98,23 +98,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"Unknown mode: {mode!r}")
-    hit = written(find(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_key"]), "contaminated")
+    doc, key, spans, words, gaps, cut = fresh(docs, "_doc", "_key", "_spans", "_words", "_gaps", "_cut")
+    hit = written(find(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([doc, key]), "contaminated")
     hit = broadcast_if_small(hit, BROADCAST_DOCUMENTS)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(F.col("text").cast("string")) == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key(F.col("text").cast("string")) == F.col(key))
     if mode == "documents":
-        return docs.join(hit.drop("_spans"), same, "left_anti")
+        return docs.join(hit.drop(spans), same, "left_anti")
     lower = ascii_lower(F.col("text"))
     # what stands before, between and after the words has as many characters in the text as in its lower-cased copy
-    a = docs.join(hit, same, "left").drop("_doc", "_key")
-    a = a.withColumns({"_words": F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1)), "_gaps": F.split(lower, WORD, -1)})
-    lengths = F.transform("_words", lambda w, i: F.struct(F.length(w).alias("w"), F.length(F.get("_gaps", i + 1)).alias("g")))
-    a = a.withColumn("_cut", F.aggregate(lengths, F.struct(F.lit(0).alias("i"), (F.length(F.get("_gaps", F.lit(0))) + 1).alias("at"), F.substring("text", 1, 0).alias("out")), lambda acc, x: F.struct(
+    a = docs.join(hit, same, "left").drop(doc, key)
+    a = a.withColumns({words: F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1)), gaps: F.split(lower, WORD, -1)})
+    lengths = F.transform(words, lambda w, i: F.struct(F.length(w).alias("w"), F.length(F.get(gaps, i + 1)).alias("g")))
+    a = a.withColumn(cut, F.aggregate(lengths, F.struct(F.lit(0).alias("i"), (F.length(F.get(gaps, F.lit(0))) + 1).alias("at"), F.substring("text", 1, 0).alias("out")), lambda acc, x: F.struct(
         (acc["i"] + 1).alias("i"), (acc["at"] + x["w"] + x["g"]).alias("at"),
-        F.when(F.exists("_spans", lambda s: (s["start"] <= acc["i"]) & (acc["i"] < s["end"])), acc["out"]).otherwise(F.concat(acc["out"], F.col("text").substr(acc["at"], x["w"] + x["g"]))).alias("out"))))
-    cut = F.concat(F.substring("text", F.lit(1), F.length(F.get("_gaps", F.lit(0)))), F.col("_cut.out"))
-    a = a.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
+        F.when(F.exists(spans, lambda s: (s["start"] <= acc["i"]) & (acc["i"] < s["end"])), acc["out"]).otherwise(F.concat(acc["out"], F.col("text").substr(acc["at"], x["w"] + x["g"]))).alias("out"))))
+    rest = F.concat(F.substring("text", F.lit(1), F.length(F.get(gaps, F.lit(0)))), F.col(f"{cut}.out"))
+    a = a.withColumn("text", F.when(F.col(spans).isNotNull(), rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        a = a.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        a = a.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return a.select(*docs.columns)
 
 

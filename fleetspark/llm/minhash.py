@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, small_batches, table, written
+from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, small_batches, table, written
 
 #: Words of a shingle and the similarity in percent that links two texts, unless a caller says otherwise.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -335,8 +335,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """docs' rows and columns with one document of each group: the one with the least doc_id."""
-    gone = written(near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = written(near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import broadcast_if_small, table, written
+from fleetspark.llm.shared import broadcast_if_small, fresh, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: 1 % relative error: (1 + a) / (1 - a) with a = 0.01.
@@ -41,10 +40,12 @@ MEASURES = {
 }
 #: Group rows (languages times sources) that are broadcast to the documents; beyond that Spark joins by a shuffle.
 BROADCAST_GROUPS = 100_000
+#: Rejected texts whose keys are broadcast to the documents, 16 bytes each.
+BROADCAST_REJECTED = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -117,15 +118,16 @@ def fences(sketch: DataFrame) -> DataFrame:
     return ends.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(end))).alias(f"{m}_{end}") for m in MEASURES for end in ("low", "high")))
 
 
-def judge(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs' columns without the text, the five counts, base_failed and kept.
+def judge(docs: DataFrame, *ids: str) -> DataFrame:
+    """A row per row of docs: the ids (doc_id unless named), lang, source, the five counts, base_failed and kept.
 
     Every row is judged on its own, rows that repeat or have a null doc_id too. A null text has no words and fails the
-    floor; a null lang or source is a group of its own. An empty table gives an empty result. docs may have no column
-    named like the results, but for those this returns.
+    floor; a null lang or source is a group of its own. An empty table gives an empty result. Only the ids, text, lang
+    and source are read.
     """
+    docs = docs.select(*(ids or ("doc_id",)), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counted = written(with_counts(docs, text_column).withColumn("base_failed", base), "quality-counts")
+    counted = written(with_counts(docs).withColumn("base_failed", base), "quality-counts")
     ends = broadcast_if_small(written(fences(written(sketches(counted), "quality-sketches")), "quality-fences"), BROADCAST_GROUPS)
     ends = ends.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = []
@@ -141,9 +143,17 @@ def judge(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return joined.select(*counted.columns, (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """docs' rows and columns without those that judge() rejects."""
+    key = lambda salt: F.xxhash64("doc_id", "text", "lang", "source", F.lit(salt))
+    k1, k2 = fresh(docs, "_k1", "_k2")
+    judged = judge(docs.select(key(1).alias(k1), key(2).alias(k2), "lang", "source", "text"), k1, k2)
+    gone = broadcast_if_small(written(judged.where("NOT kept").select(k1, k2).distinct(), "quality-gone"), BROADCAST_REJECTED)
+    return docs.join(gone, (key(1) == F.col(k1)) & (key(2) == F.col(k2)), "left_anti")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetspark.llm.shared import broadcast_if_small, table, written
+from fleetspark.llm.shared import broadcast_if_small, fresh, table, written
 
 #: Characters of a token, and names that a credential is assigned to.
 TOKEN = r"A-Za-z0-9+/_\-"
@@ -162,14 +162,15 @@ def find(docs: DataFrame, model: RandomForestClassificationModel | None = None,
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
     """docs' rows and columns, each secret in a text replaced (n_chars, where it is a column, follows). Other rows stay as they are."""
-    found = find(docs, model).where("secret").groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("number").alias("_numbers"))
+    doc, key, numbers, own, gaps = fresh(docs, "_doc", "_key", "_numbers", "_own", "_gaps")
+    found = find(docs, model).where("secret").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.collect_set("number").alias(numbers))
     found = broadcast_if_small(written(found, "secrets"), BROADCAST_DOCUMENTS)
     text = F.col("text").cast("string")
-    a = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(text) == F.col("_key")), "left").drop("_doc", "_key")
-    hit = F.col("_numbers").isNotNull()
-    a = a.withColumns({"_c": F.when(hit, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))), "_p": F.when(hit, F.split("text", CANDIDATE, -1))})
-    pieces = F.transform("_c", lambda c, i: F.concat(F.when(F.array_contains("_numbers", i), F.lit(placeholder)).otherwise(c), F.get("_p", i + 1)))
-    a = a.withColumn("text", F.when(hit, F.concat(F.get("_p", F.lit(0)), F.array_join(pieces, ""))).otherwise(F.col("text")))
+    a = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key(text) == F.col(key)), "left").drop(doc, key)
+    hit = F.col(numbers).isNotNull()
+    a = a.withColumns({own: F.when(hit, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))), gaps: F.when(hit, F.split("text", CANDIDATE, -1))})
+    pieces = F.transform(own, lambda c, i: F.concat(F.when(F.array_contains(numbers, i), F.lit(placeholder)).otherwise(c), F.get(gaps, i + 1)))
+    a = a.withColumn("text", F.when(hit, F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         a = a.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return a.select(*docs.columns)

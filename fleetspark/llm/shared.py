@@ -75,6 +75,17 @@ def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
     return df.orderBy(by).limit(rows)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of, in any case, so that a table's further columns are never met."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(batches: Iterable, most_bytes: int = 4 << 20):
     """Arrow record batches in slices of about that many bytes, so that very long texts don't meet in one Python list."""
     for batch in batches:
