@@ -133,7 +133,8 @@ def counterfactual_pairs(texts: list[tuple[int, set[str]]]) -> list[tuple[np.nda
 
 
 def _feature_rows(batches):
-    """doc_id, y, features, other (features of the swapped text, or null)."""
+    """y, features, other (features of the swapped text, or null), as 32-bit integers: the driver holds them all."""
+    packed = lambda words, memory: None if words is None else features(words, memory).astype("<i4").tobytes()
     memory: dict[str, tuple[int, ...]] = {}
     for batch in small_batches(batches):
         doc, text, y = (batch.column(c).to_pylist() for c in ("doc_id", "text", "y"))
@@ -141,15 +142,15 @@ def _feature_rows(batches):
         if len(memory) > 300_000:
             memory.clear()
         other = [swapped(w, d) for w, d in zip(words, doc, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([features(w, memory) for w in words], pa.list_(pa.int64())), pa.array([None if o is None else features(o, memory) for o in other], pa.list_(pa.int64()))], ["y", "features", "other"])
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([packed(w, memory) for w in words], pa.binary()), pa.array([packed(o, memory) for o in other], pa.binary())], ["y", "features", "other"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights from at most ``rows`` labelled documents outside the held-out fold; without labels, a low constant score."""
-    found = sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows).mapInArrow(_feature_rows, "y int, features array<long>, other array<long>").collect()
+    found = sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows).mapInArrow(_feature_rows, "y int, features binary, other binary").collect()
     found.sort(key=lambda r: (r["y"], r["features"]))
-    learnt = [(np.array(r["features"], np.int64), r["y"]) for r in found]
-    pairs = [(np.array(r["features"], np.int64), np.array(r["other"], np.int64)) for r in found if r["other"] is not None]
+    learnt = [(np.frombuffer(r["features"], "<i4"), r["y"]) for r in found]
+    pairs = [(np.frombuffer(r["features"], "<i4"), np.frombuffer(r["other"], "<i4")) for r in found if r["other"] is not None]
     return train(learnt, pairs + counterfactual_pairs([]))
 
 
