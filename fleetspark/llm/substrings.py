@@ -226,7 +226,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "own", "lo", "hi", "place", "k1", "k2"])
 
     all_runs = written(text.where(F.octet_length("text") >= length).mapInArrow(anchored, "anchor long, own long, lo int, hi int, place int, k1 long, k2 long"), "suffix-runs")
-    twice = all_runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table, so that both sides of the join are plain exchanges, whose skewed partitions Spark can split
+    twice = written(all_runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     found = written(all_runs.join(twice, "anchor"), "suffix-candidates")  # an anchor that many texts share is a skewed key, which Spark splits at run time
     span, shift = F.col("hi") - F.col("lo"), F.col("place") - F.col("lo")
     classes = found.groupBy("anchor", "own", span.alias("span"), shift.alias("shift")).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one"))
