@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, small_batches, table, written
+from fleetspark.llm import shared
+from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, small_batches, table
 
 #: Words of a shingle and the similarity in percent that links two texts, unless a caller says otherwise.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -39,6 +40,8 @@ SYMBOLS, CHUNK, MOST_DIFFERENT = 48, 4, 23
 FINE_SYMBOLS, FINE_SIGMAS = 384, 5.0
 #: Texts of a key that a block holds.
 BLOCK = 1024
+#: Texts of a block that are compared with the others at a time.
+COMPARED = 16
 #: Ids that are broadcast to select texts, eight bytes each; beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 REMEMBERED_WORDS = 300_000
@@ -47,6 +50,11 @@ _U = np.uint64
 _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Hashes don't compress, and many small files each with a compressor's buffers cost memory."""
+    return shared.written(df, name, "uncompressed")
+
+
 def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -192,7 +200,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t or b"", size, memory).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "own"])
 
-    own = written(_texts(docs, ids).mapInArrow(sets, "id long, own binary"), f"{name}-sets", "uncompressed")
+    own = written(_texts(docs, ids).mapInArrow(sets, "id long, own binary"), f"{name}-sets")
 
     def compare(batches):
         for batch in small_batches(batches, 16 << 20):
@@ -217,7 +225,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # large star: a node's larger neighbours go to its least neighbour or itself
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         # small star: a node and its smaller neighbours go to the least of these
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
@@ -248,7 +256,7 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: Data
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(shingles(t or b"", size, memory), a, b).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "fine"])
 
-    fine = written(_texts(docs, ids).mapInArrow(finer, "rep long, fine binary").dropDuplicates(["rep"]), "near-fine", "uncompressed")
+    fine = written(_texts(docs, ids).mapInArrow(finer, "rep long, fine binary").dropDuplicates(["rep"]), "near-fine")
     described = fine.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = left.withColumns({"block": F.pmod(F.xxhash64("rep", "key"), blocks.cast("long")).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
@@ -266,27 +274,25 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: Data
         number = (key & (1 << 64) - 1) >> key_bits
         earlier = number // per_chunk
         out = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = (component[j] != component[i]) & (100 * np.minimum(size_of[j], size_of[i]) >= percent * np.maximum(size_of[j], size_of[i]))
+        for begin in range(0, len(rows) - 1, COMPARED):
+            i, j = np.arange(begin, min(begin + COMPARED, len(rows)))[:, None], np.arange(begin + 1, len(rows))
+            ok = (j > i) & (component[j] != component[i]) & (100 * np.minimum(size_of[j], size_of[i]) >= percent * np.maximum(size_of[j], size_of[i]))
             if b1 != b2:
                 ok &= block[j] != block[i]
-            j = j[ok]
-            if not len(j):
-                continue
-            wrong = s[j] != s[i]
-            ok = wrong.sum(1) <= MOST_DIFFERENT
-            j, wrong = j[ok], wrong[ok]
-            if not len(j):
+            if not ok.any():
                 continue
+            wrong = s[i] != s[j]
+            ok &= wrong.sum(2, dtype=np.uint8) <= MOST_DIFFERENT
+            x, y = np.nonzero(ok)
+            wrong, x, y = wrong[x, y], x + begin, y + begin + 1
             # a pair comes out under the first of its keys
-            by_chunk = wrong.reshape(len(j), -1, CHUNK).sum(2)
+            by_chunk = wrong.reshape(len(x), SYMBOLS // CHUNK, CHUNK).sum(2, dtype=np.uint8)
             ok = ~(by_chunk[:, :earlier] <= MOST_DIFFERENT // (SYMBOLS // CHUNK)).any(1)
             for v in variants[earlier * per_chunk : number]:
                 ok &= wrong[:, v[v >= 0]].any(1)
-            j = j[ok]
-            j = j[_different(fine[j], fine[i]) <= most_fine]
-            out += [(int(min(rep[i], rep[x])), int(max(rep[i], rep[x]))) for x in j]
+            x, y = x[ok], y[ok]
+            ok = (fine[x] != fine[y]).sum(1) <= most_fine
+            out += zip(np.minimum(rep[x[ok]], rep[y[ok]]).tolist(), np.maximum(rep[x[ok]], rep[y[ok]]).tolist(), strict=True)
         return out
 
     def run(batches):
