@@ -8,6 +8,8 @@ on labelled texts that the dictionaries haven't seen turns them into a calibrate
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[by
     share = 16 * BLOCK_BYTES
     text = F.when(F.length("text") <= share, F.col("text")).otherwise(F.concat(F.substring("text", 1, share // 2), F.expr(f"right(text, {share // 2})")))
     found = sample(docs, labels, "quality", MODULUS, HELD_OUT, rows).select("doc_id", "y", text.alias("text")).collect()
-    found.sort(key=lambda r: (r["y"], r["doc_id"], r["text"]))
+    found.sort(key=lambda r: (r["y"], zlib.crc32(r["text"].encode()), r["text"]))
     kinds = [[r["text"].encode() for r in found if r["y"] == y] for y in (0, 1)]
     if not all(kinds):
         return b"", b"", [0.0, 0.0, 0.0, (2.0 if kinds[1] else -2.0) if found else 0.0]

@@ -4,7 +4,7 @@ A text's features are which words it holds and which of their beginnings, hashed
 loss, training penalises the change of the score when the identity terms of a labelled text are swapped for others of
 their kind ("women" for "men", "muslims" for "christians"): COUNTERFACTUAL * mean (z(text) - z(swapped))^2, with z the
 score before the logistic function. A neutral mention of a group then weighs what any other group's mention weighs, and
-little. So that every term is seen, each also gets counterfactual pairs in short neutral carrier texts made from it.
+little.
 
 The sample of labelled rows is bounded; the weights, one per feature, go to the executors, which score in one pass.
 """
@@ -126,10 +126,9 @@ def train(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.n
     return w
 
 
-def counterfactual_pairs(texts: list[tuple[int, set[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    pairs = [(features(words), features(other)) for doc, words in texts if (other := swapped(words, doc))]
-    pairs += [(features({w}), features({x})) for line in IDENTITIES for w in line.split() for x in line.split() if w < x]
-    return pairs
+def term_pairs() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every two terms of a kind, each as a text of its own, so that terms that no labelled text has weigh alike too."""
+    return [(features({w}), features({x})) for line in IDENTITIES for w in line.split() for x in line.split() if w < x]
 
 
 def _feature_rows(batches):
@@ -137,11 +136,11 @@ def _feature_rows(batches):
     packed = lambda words, memory: None if words is None else features(words, memory).astype("<i4").tobytes()
     memory: dict[str, tuple[int, ...]] = {}
     for batch in small_batches(batches):
-        doc, text, y = (batch.column(c).to_pylist() for c in ("doc_id", "text", "y"))
+        text, y = (batch.column(c).to_pylist() for c in ("text", "y"))
         words = [words_of(t) for t in text]
         if len(memory) > 300_000:
             memory.clear()
-        other = [swapped(w, d) for w, d in zip(words, doc, strict=True)]
+        other = [swapped(w, len(w)) for w in words]
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([packed(w, memory) for w in words], pa.binary()), pa.array([packed(o, memory) for o in other], pa.binary())], ["y", "features", "other"])
 
 
@@ -151,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarr
     found.sort(key=lambda r: (r["y"], r["features"]))
     learnt = [(np.frombuffer(r["features"], "<i4"), r["y"]) for r in found]
     pairs = [(np.frombuffer(r["features"], "<i4"), np.frombuffer(r["other"], "<i4")) for r in found if r["other"] is not None]
-    return train(learnt, pairs + counterfactual_pairs([]))
+    return train(learnt, pairs + term_pairs())
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
