@@ -9,8 +9,8 @@ out, so that the pair meets under a key. (At similarity 0.8, chance exceeds 23 o
 Only classes of texts take part: texts with the same set are collapsed first, by their sets' 128-bit digests. Pairs are
 not enumerated within a key's texts:
 
-1. Every text meets one text of its key, drawn anew for each key, and the pairs that the signatures and sizes allow are
-   confirmed on the full sets. Large groups of copies are joined by these links already.
+1. Under the first key of each chunk, every text meets one text, drawn anew for each key, and the pairs that the
+   signatures and sizes allow are confirmed on the full sets. Large groups of copies are joined by these links already.
 2. Links are contracted to components by large-star and small-star steps. Keys whose texts are all in one component
    are done.
 3. In the keys that are left, pairs across components are compared by signature and by a finer one, in blocks of bounded
@@ -37,7 +37,7 @@ from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, small_
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SYMBOLS, CHUNK, MOST_DIFFERENT = 48, 4, 23
 #: Symbols (of 8 bits) of the finer signature, and the standard deviations that a pair at the limit may stray.
-FINE_SYMBOLS, FINE_SIGMAS = 384, 5.0
+FINE_SYMBOLS, FINE_SIGMAS = 1536, 5.0
 #: Texts of a key that a block holds.
 BLOCK = 1024
 #: Texts of a block that are compared with the others at a time.
@@ -157,7 +157,8 @@ def _indexed(classes: DataFrame) -> DataFrame:
 def _members(classes: DataFrame) -> DataFrame:
     """(key, rep, drawn) for every key of two or more classes."""
     indexed = _indexed(classes)
-    shared = indexed.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table, so that both sides of the join are plain exchanges, whose skewed partitions Spark can split
+    shared = written(indexed.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-shared")
 
     def run(batches):
         for batch in batches:
@@ -327,7 +328,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     classes = signed.where("d1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = written(classes, "near-classes")
     members = written(_members(classes), "near-members")
-    star = members.where("rep <> drawn").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b")).distinct()
+    first = F.shiftrightunsigned("key", 16 * len(_variants()[0])) % (len(_variants()) * CHUNK // SYMBOLS) == 0
+    star = members.where(first & (F.col("rep") != F.col("drawn"))).select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b")).distinct()
     links = _confirmed(written(_allowed(star, classes, percent), "near-star"), docs, shingle_words, percent, "near-star")
     comps = components(links, "near-first")
     more = _confirmed(_across(members, comps, classes, docs, shingle_words, percent), docs, shingle_words, percent, "near-more")
