@@ -23,9 +23,9 @@ from fleetspark.llm.shared import broadcast_if_small, fresh, table, written
 #: Characters of a token, and names that a credential is assigned to.
 TOKEN = r"A-Za-z0-9+/_\-"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
-#: What stands before an assigned value. A match begins with it, so that the pattern never looks back further than a character.
-ASSIGNMENT = r"(?:[Pp](?i:assword|asswd|wd)|[Ss](?i:ecret)|[Tt](?i:oken)|[Aa](?i:pi[_-]?key)|[Bb](?i:earer))[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
-CANDIDATE = rf"{ASSIGNMENT}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]{{0,64}}+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
+#: What stands before an assigned value. The two short look-behinds spare almost all positions the one for the name.
+ASSIGNED = r"(?<=[:= \"'])(?<=[:=][ ]{0,2}[\"']?)(?i:(?<=(?:password|passwd|pwd|secret|token|api[_-]?key|bearer)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?))"
+CANDIDATE = rf"{ASSIGNED}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]{{0,64}}+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
 #: Characters kept on either side of a candidate for the words beside it.
 CONTEXT = 80
 THRESHOLD, PLACEHOLDER = 0.5, "[SECRET]"
@@ -141,11 +141,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     d = docs.select("doc_id", text.alias("t")).where(F.col("t").rlike(CANDIDATE))
     d = d.select("doc_id", text_key(F.col("t")).alias("text_key"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("t", CANDIDATE, -1).alias("p"))
-    d = d.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("c"), F.expr("slice(p, 1, size(c))").alias("b"), F.expr("slice(p, 2, size(c))").alias("a"))).alias("number", "x"))
-    # the name that a match begins with belongs to what stands before
-    named = F.regexp_extract("x.c", f"^(?:{ASSIGNMENT})", 0)
-    d = d.select("doc_id", "text_key", "number", F.expr("x.c").alias("whole"), named.alias("named"), F.length("x.b").alias("gap"), F.expr("x.b").alias("b"), F.substring("x.a", 1, CONTEXT).alias("after"))
-    d = d.select("doc_id", "text_key", "number", F.expr("substr(whole, length(named) + 1)").alias("candidate"), (F.col("gap") + F.length("named")).alias("gap"), F.expr(f"right(concat(right(b, {CONTEXT}), named), {CONTEXT})").alias("before"), "after")
+    # what stands before a candidate includes the one before it, which may hold the name that it is assigned to
+    d = d.withColumn("last", F.expr(f"transform(c, (x, i) -> if(i = 0, '', right(c[i - 1], {CONTEXT})))"))
+    d = d.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("c"), F.expr("slice(p, 1, size(c))").alias("b"), F.expr("slice(p, 2, size(c))").alias("a"), F.col("last"))).alias("number", "x"))
+    d = d.select("doc_id", "text_key", "number", F.col("x.c").alias("candidate"), F.length("x.b").alias("gap"), F.expr(f"right(concat(x.last, right(x.b, {CONTEXT})), {CONTEXT})").alias("before"), F.substring("x.a", 1, CONTEXT).alias("after"))
     # rows that repeat share all partitions below; each number occurs as often as the row does
     by = Window.partitionBy("doc_id", "text_key")
     upto = F.sum(F.col("gap") + F.length("candidate")).over(by.orderBy("number"))
@@ -174,8 +173,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     a = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key(text) == F.col(key)), "left").drop(doc, key)
     hit = F.col(numbers).isNotNull()
     a = a.withColumns({own: F.when(hit, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))), gaps: F.when(hit, F.split("text", CANDIDATE, -1))})
-    hidden = lambda c: F.concat(F.regexp_extract(c, f"^(?:{ASSIGNMENT})", 0), F.lit(placeholder))
-    pieces = F.transform(own, lambda c, i: F.concat(F.when(F.array_contains(numbers, i), hidden(c)).otherwise(c), F.get(gaps, i + 1)))
+    pieces = F.transform(own, lambda c, i: F.concat(F.when(F.array_contains(numbers, i), F.lit(placeholder)).otherwise(c), F.get(gaps, i + 1)))
     a = a.withColumn("text", F.when(hit, F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         a = a.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
