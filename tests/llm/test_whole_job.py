@@ -28,3 +28,8 @@ def test_the_name_before_a_value_is_seen_and_the_value_hidden(spark):
     rows = secrets.with_features(secrets.candidates(df)).orderBy("number").collect()
     assert rows[-1]["candidate"] == "Xk29!fQz7Lw04mTb" and rows[-1]["before"] == "db1_password='" and rows[-1]["named"] == rows[-1]["assigned"] == 1.0
     assert "Xk29" not in secrets.redact(df, secrets.train(spark, 60)).first()["text"]
+
+
+def test_values_assigned_to_every_name(spark):
+    texts = {1: 'access_key = "letmeinnow"', 2: "auth: s3cr!tX", 3: "credential=letmein!", 4: "Access-Key: letmeinnow"}
+    assert found_in(spark, texts) == {1: ["letmeinnow"], 2: ["s3cr!tX"], 3: ["letmein!"], 4: ["letmeinnow"]}
