@@ -25,7 +25,7 @@ TOKEN = r"A-Za-z0-9+/_\-"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
 #: What stands before an assigned value. The two short look-behinds spare almost all positions the one for the name.
 ASSIGNED = rf"(?<=[:= \"'])(?<=[:=][ ]{{0,2}}[\"']?)(?i:(?<=(?:{NAMES})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?))"
-CANDIDATE = rf"{ASSIGNED}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]{{0,64}}+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
+CANDIDATE = rf"{ASSIGNED}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
 #: Characters kept on either side of a candidate for the words beside it.
 CONTEXT = 80
 THRESHOLD, PLACEHOLDER = 0.5, "[SECRET]"

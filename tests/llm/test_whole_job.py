@@ -33,3 +33,8 @@ def test_the_name_before_a_value_is_seen_and_the_value_hidden(spark):
 def test_values_assigned_to_every_name(spark):
     texts = {1: 'access_key = "letmeinnow"', 2: "auth: s3cr!tX", 3: "credential=letmein!", 4: "Access-Key: letmeinnow"}
     assert found_in(spark, texts) == {1: ["letmeinnow"], 2: ["s3cr!tX"], 3: ["letmein!"], 4: ["letmeinnow"]}
+
+
+def test_a_digit_far_into_a_run(spark):
+    texts = {1: "ab/" * 25 + "Z9x8c7v6b5", 2: "see " + "-" * 70 + "a1b2c3d4e5 there", 3: "-" * 70 + " letters" * 9, 4: "x" * 300_000 + "1"}
+    assert found_in(spark, texts) == {1: [texts[1]], 2: ["-" * 70 + "a1b2c3d4e5"], 3: [], 4: [texts[4]]}
