@@ -13,9 +13,11 @@ not enumerated within a key's texts:
    signatures and sizes allow are confirmed on the full sets. Large groups of copies are joined by these links already.
 2. Links are contracted to components by large-star and small-star steps. Keys whose texts are all in one component
    are done.
-3. In the keys that are left, pairs across components are compared by signature and by a finer one, in blocks of bounded
-   size, so that no task holds a whole key. Of these only the pairs that may be similar enough come out; they are
-   confirmed on the full sets, and components are contracted again.
+3. In the keys that are left, pairs across components are compared in blocks of bounded size, so that no task holds a
+   whole key: by signature, and then by the sets themselves where they are small, or by a finer signature where they are
+   large. Of the links that the sets show, a block gives a spanning forest, fewer than its texts. Where only the finer
+   signature speaks, a block first gives each text's best pair with each other component; these are confirmed on the
+   full sets and contracted, and only components that are still apart give all the pairs that may be similar enough.
 
 Sets hold 64-bit hashes of the shingles' words. Everything that is kept between steps is a table in the shared folder.
 """
@@ -31,20 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspark.llm import shared
-from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, small_batches, table
+from fleetspark.llm.shared import LOWER_BYTES, broadcast_if_small, fresh, lean, small_batches, table
 
 #: Words of a shingle and the similarity in percent that links two texts, unless a caller says otherwise.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SYMBOLS, CHUNK, MOST_DIFFERENT = 48, 4, 23
 #: Symbols (of 8 bits) of the finer signature, and the standard deviations that a pair at the limit may stray.
 FINE_SYMBOLS, FINE_SIGMAS = 1536, 5.0
+#: Shingles of a set that goes into the blocks itself; sets near or above it go there as a finer signature.
+WHOLE_SETS = 384
 #: Texts of a key that a block holds.
 BLOCK = 1024
 #: Texts of a block that are compared with the others at a time.
 COMPARED = 16
 #: Ids that are broadcast to select texts, eight bytes each; beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-REMEMBERED_WORDS = 300_000
+#: Words whose hashes a task remembers, and the cells of a block of hash values: speed and memory only.
+REMEMBERED_WORDS, CELLS = 100_000, 1 << 18
 
 _U = np.uint64
 _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -87,10 +92,16 @@ def shingles(text: bytes, size: int, memory: dict[bytes, int]) -> np.ndarray:
 
 
 def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minimum of each of the hash functions a x + b over a set."""
+    """The minimum of each of the hash functions a x + b over a set, which is not empty; CELLS hash values at a time."""
     out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        out = np.minimum(out, (s[at : at + 2048] * a[:, None] + b[:, None]).min(1))
+    wide = min(len(s), 2048)
+    tall = max(1, CELLS // wide)
+    for top in range(0, len(a), tall):
+        own = slice(top, top + tall)
+        for at in range(0, len(s), wide):
+            h = a[own, None] * s[at : at + wide]
+            h += b[own, None]
+            np.minimum(out[own], h.min(1), out=out[own])
     return out
 
 
@@ -117,7 +128,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                         x.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
+    return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")), run, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def _variants() -> list[tuple[int, ...]]:
@@ -151,7 +162,7 @@ def _indexed(classes: DataFrame) -> DataFrame:
                 key = np.concatenate(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((np.tile(rep, len(variants)) + key * _U(_OTHER)).view(np.int64))], ["key", "h"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, h long")
+    return lean(classes.select("rep", "signature"), run, "key long, h long")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -166,7 +177,7 @@ def _members(classes: DataFrame) -> DataFrame:
             back = lambda x: ((x - key * _U(_OTHER)) * _U(_BACK)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(back(h)), pa.array(back(least))], ["key", "rep", "drawn"])
 
-    return indexed.join(shared, "key").select("key", "h", "least").mapInArrow(run, "key long, rep long, drawn long")
+    return lean(indexed.join(shared, "key").select("key", "h", "least"), run, "key long, rep long, drawn long")
 
 
 def _different(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,12 +189,12 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     own = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array(_different(x, y) <= MOST_DIFFERENT))
 
     joined = pairs.join(own("a"), "a").join(own("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return lean(joined.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t or b"", size, memory).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "own"])
 
-    own = written(_texts(docs, ids).mapInArrow(sets, "id long, own binary"), f"{name}-sets")
+    own = written(lean(_texts(docs, ids), sets, "id long, own binary"), f"{name}-sets")
 
     def compare(batches):
         for batch in small_batches(batches, 16 << 20):
@@ -215,7 +226,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), f"{name}-links")
+    return written(lean(joined.select("a", "b", "x", "y"), compare, "a long, b long"), f"{name}-links")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -241,8 +252,45 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be similar enough, once each."""
+def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of pairs (x, y) of sets; pairs are sorted by x."""
+    used = np.unique(pairs)
+    _, places = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    begin = np.cumsum([0, *(len(sets[i]) for i in used)])
+    of = {int(i): places[begin[k] : begin[k + 1]] for k, i in enumerate(used)}
+    out, own = np.empty(len(pairs), np.int64), np.zeros(int(places.max()) + 1, bool)
+    edges = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0], [True]]))
+    for begin_of, end_of in zip(edges[:-1], edges[1:], strict=True):
+        own[of[int(pairs[begin_of, 0])]] = True
+        out[begin_of:end_of] = [own[of[int(y)]].sum() for y in pairs[begin_of:end_of, 1]]
+        own[of[int(pairs[begin_of, 0])]] = False
+    return out
+
+
+def _forest(links: list[tuple[int, int]], component: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between places, those that join components that the links before leave apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for x, y in links:
+        p, q = find(int(component[x])), find(int(component[y]))
+        if p != q:
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, everything: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be similar enough, and whether their block kept pairs back.
+
+    Keeps none back with ``everything``: then pairs of large sets come out all, else the best of each text and other component.
+    """
     labelled = written(_labelled(members.select("key", "rep"), comps), "near-labelled")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     left = written(labelled.join(open_keys, "key"), "near-open")
@@ -251,30 +299,38 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: Data
     differ = (1 - similar) * 255 / 256 * FINE_SYMBOLS
     most_fine = math.ceil(differ + FINE_SIGMAS * math.sqrt(differ * (1 - differ / FINE_SYMBOLS)))
 
-    def finer(batches):
+    def described(batches):
         a, b = _multipliers(FINE_SYMBOLS, 2)
         memory: dict[bytes, int] = {}
         for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(shingles(t or b"", size, memory), a, b).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "fine"])
-
-    fine = written(_texts(docs, ids).mapInArrow(finer, "rep long, fine binary").dropDuplicates(["rep"]), "near-fine")
-    described = fine.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "rep")
+            own, fine = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t or b"", size, memory)
+                own.append(s.tobytes() if len(s) <= WHOLE_SETS else None)
+                # a set that may be linked with one that doesn't go whole
+                fine.append(minima(s, a, b).astype(np.uint8).tobytes() if 100 * len(s) >= percent * WHOLE_SETS else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(fine, pa.binary())], ["rep", "own", "fine"])
+
+    known = written(lean(_texts(docs, ids), described, "rep long, own binary, fine binary").dropDuplicates(["rep"]), "near-fine")
+    known = known.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = left.withColumns({"block": F.pmod(F.xxhash64("rep", "key"), blocks.cast("long")).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = dealt.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "component").join(described, "rep")
+    dealt = dealt.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "component").join(known, "rep")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "rep")
     variants = np.array([v + (-1,) * (CHUNK - len(v)) for v in _variants()])
     per_chunk = len(variants) // (SYMBOLS // CHUNK)
     key_bits = 16 * len(_variants()[0])
 
-    def pairs_of(key: int, b1: int, b2: int, rows: list[tuple]) -> list[tuple[int, int]]:
+    def pairs_of(key: int, b1: int, b2: int, rows: list[tuple]) -> list[tuple[int, int, bool]]:
         block, rep, component, size_of = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         s = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        fine = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, FINE_SYMBOLS)
+        sets = [None if r[5] is None else np.frombuffer(r[5], np.uint64) for r in rows]
+        small = np.array([x is not None for x in sets])
         number = (key & (1 << 64) - 1) >> key_bits
         earlier = number // per_chunk
-        out = []
+        links: list[tuple[int, int]] = []
+        maybe: list[tuple[int, int, int]] = []
         for begin in range(0, len(rows) - 1, COMPARED):
             i, j = np.arange(begin, min(begin + COMPARED, len(rows)))[:, None], np.arange(begin + 1, len(rows))
             ok = (j > i) & (component[j] != component[i]) & (100 * np.minimum(size_of[j], size_of[i]) >= percent * np.maximum(size_of[j], size_of[i]))
@@ -286,34 +342,58 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: Data
             ok &= wrong.sum(2, dtype=np.uint8) <= MOST_DIFFERENT
             x, y = np.nonzero(ok)
             wrong, x, y = wrong[x, y], x + begin, y + begin + 1
-            # a pair comes out under the first of its keys
+            # a pair counts under the first of its keys
             by_chunk = wrong.reshape(len(x), SYMBOLS // CHUNK, CHUNK).sum(2, dtype=np.uint8)
             ok = ~(by_chunk[:, :earlier] <= MOST_DIFFERENT // (SYMBOLS // CHUNK)).any(1)
             for v in variants[earlier * per_chunk : number]:
                 ok &= wrong[:, v[v >= 0]].any(1)
             x, y = x[ok], y[ok]
-            ok = (fine[x] != fine[y]).sum(1) <= most_fine
-            out += zip(np.minimum(rep[x[ok]], rep[y[ok]]).tolist(), np.maximum(rep[x[ok]], rep[y[ok]]).tolist(), strict=True)
-        return out
+            whole = small[x] & small[y]
+            if whole.any():
+                both = np.stack([x[whole], y[whole]], 1)
+                common = _common(sets, both)
+                links += map(tuple, both[100 * common >= percent * (size_of[both].sum(1) - common)].tolist())
+            if not whole.all():
+                x, y = x[~whole], y[~whole]
+                used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                fine = np.frombuffer(b"".join(rows[k][6] for k in used), np.uint8).reshape(-1, FINE_SYMBOLS)
+                far = (fine[at[: len(x)]] != fine[at[len(x) :]]).sum(1)
+                ok = far <= most_fine
+                maybe += zip(far[ok].tolist(), x[ok].tolist(), y[ok].tolist(), strict=True)
+        found, held = _forest(links, component), False
+        if maybe and not everything:
+            best: set[tuple[int, int]] = set()
+            chosen = []
+            for _, x, y in sorted(maybe):
+                ways = {(x, int(component[y])), (y, int(component[x]))}
+                if not ways <= best:
+                    best |= ways
+                    chosen.append((x, y))
+            held, found = len(chosen) < len(maybe), found + chosen
+        else:
+            found += [(x, y) for _, x, y in maybe]
+        return [(min(rep[x], rep[y]), max(rep[x], rep[y]), held) for x, y in found]
+
+    def rows_of(out: list[tuple[int, int, bool]]):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "held"])
 
     def run(batches):
         at, rows = None, []
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("key", "b1", "b2", "block", "rep", "component", "n_shingles", "signature", "fine"))
+            columns = (batch.column(c).to_pylist() for c in ("key", "b1", "b2", "block", "rep", "component", "n_shingles", "signature", "own", "fine"))
             for key, b1, b2, *row in zip(*columns, strict=True):
                 if (key, b1, b2) != at:
                     if len(rows) > 1:
                         out += pairs_of(*at, rows)
                     at, rows = (key, b1, b2), []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield rows_of(out)
         if len(rows) > 1:
-            out = pairs_of(*at, rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield rows_of(pairs_of(*at, rows))
 
-    found = dealt.select("key", "b1", "b2", "block", "rep", "component", "n_shingles", "signature", "fine").mapInArrow(run, "a long, b long")
-    return written(found.distinct(), "near-across")
+    found = lean(dealt.select("key", "b1", "b2", "block", "rep", "component", "n_shingles", "signature", "own", "fine"), run, "a long, b long, held boolean")
+    return written(found.groupBy("a", "b").agg(F.max("held").alias("held")), "near-across")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -332,9 +412,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     star = members.where(first & (F.col("rep") != F.col("drawn"))).select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b")).distinct()
     links = _confirmed(written(_allowed(star, classes, percent), "near-star"), docs, shingle_words, percent, "near-star")
     comps = components(links, "near-first")
-    more = _confirmed(_across(members, comps, classes, docs, shingle_words, percent), docs, shingle_words, percent, "near-more")
-    contracted = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    comps = components(contracted.unionByName(more), "near-last")
+    for everything in (False, True):
+        pairs = _across(members, comps, classes, docs, shingle_words, percent, everything)
+        more = _confirmed(pairs.select("a", "b"), docs, shingle_words, percent, "near-more")
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-more")
+        if not everything and pairs.where("held").isEmpty():
+            break
     of_class = written(_labelled(classes.select("d1", "d2", "rep"), comps).select("d1", "d2", "component"), "near-of-class")
     out = signed.join(of_class, ["d1", "d2"], "left")  # a class with many copies is a skewed key, which Spark splits at run time
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -94,3 +94,25 @@ def small_batches(batches: Iterable, most_bytes: int = 4 << 20):
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def lean(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema); when a task ends, the worker, which Spark keeps for other tasks and stages, gives its free memory back."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return df.mapInArrow(wrapped, schema)
