@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from fleetspark.functions.draws import uniform
 from fleetspark.operators.detect import UNITS, ingest, pivoted
+from fleetspark.operators.evaluate import stratified_sample
 
 #: Trees of a forest and rows that each is grown from.
 TREES, TREE_ROWS = 50, 256
@@ -74,23 +75,46 @@ def _depths(x: np.ndarray, sample: np.ndarray, rng: np.random.Generator, most: i
     return out
 
 
-def isolation_scores(x: np.ndarray, seed: int, trees: int = TREES, rows: int = TREE_ROWS) -> np.ndarray:
-    """2 ** (-mean depth / expected depth) of each row; near 1 for rows that few cuts isolate."""
-    if len(x) < 2:
+def isolation_scores(x: np.ndarray, seed: int, trees: int = TREES, rows: int = TREE_ROWS, pool: np.ndarray | None = None) -> np.ndarray:
+    """2 ** (-mean depth / expected depth) of each row; near 1 for rows that few cuts isolate. Trees grow from the pool, the rows themselves unless given; the same pool and seed give the same trees."""
+    pool = x if pool is None else pool
+    if len(pool) < 2:
         return np.full(len(x), 0.5)
-    rng, size = np.random.default_rng(seed), min(rows, len(x))
+    rng, size = np.random.default_rng(seed), min(rows, len(pool))
     most = int(np.ceil(np.log2(size)))
-    total = sum(_depths(x, x[rng.choice(len(x), size, replace=False)], rng, most) for _ in range(trees))
+    total = sum(_depths(x, pool[rng.choice(len(pool), size, replace=False)], rng, most) for _ in range(trees))
     return 2.0 ** (-(total / trees) / _path_length(size))
 
 
-def isolation_forest(df: DataFrame, units=UNITS, trees: int = TREES, seed: int = 42) -> DataFrame:
-    """container_id, timestamp_et, score: a forest per container over its temperatures, grown with a seed of its own; one container's times are in memory together."""
-    names = [f"u{u}" for u in units]
+#: Times of a container that its trees are drawn from, and tasks that one container's scoring is spread over.
+POOL, SPREAD = 4096, 8
 
-    def score(key, pdf):
-        pdf = pdf.sort_values("timestamp_et")
-        own = zlib.crc32(f"{seed}-{key[0]}".encode())
-        return pdf[["container_id", "timestamp_et"]].assign(score=isolation_scores(pdf[names].to_numpy(), own, trees))
 
-    return temperature_matrix(df, units).groupBy("container_id").applyInPandas(score, "container_id long, timestamp_et timestamp_ntz, score double")
+def isolation_forest(df: DataFrame, units=UNITS, trees: int = TREES, seed: int = 42) -> DataFrame:
+    """container_id, timestamp_et, score: a forest per container over its temperatures, grown with a seed of its own.
+
+    Trees are drawn from a container's pool, POOL of its times in the order of a hash; scoring streams all its times past
+    that pool, in several tasks. Without a container_id there is no score.
+    """
+    names = [f"u{u}" for u in units]
+    matrix = temperature_matrix(df, units).where("container_id IS NOT NULL").select("container_id", "timestamp_et", *names)
+    picked = stratified_sample(matrix, ("container_id",), POOL, ("container_id", "timestamp_et"), seed)
+    pools = picked.groupBy("container_id").agg(F.sort_array(F.collect_list(F.struct("timestamp_et", F.array(*names).alias("x")))).alias("p")).select("container_id", F.transform("p", lambda r: r["x"]).alias("pool"))
+    empty = [F.lit(None).cast("double").alias(u) for u in names]
+    first = pools.select("container_id", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("timestamp_et"), *empty, "pool")
+    rest = matrix.select("container_id", F.pmod(F.xxhash64("timestamp_et"), F.lit(SPREAD)).cast("int").alias("salt"), F.lit(1).alias("kind"), "timestamp_et", *names, F.lit(None).cast("array<array<double>>").alias("pool"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(rest).repartition(n, "container_id", "salt").sortWithinPartitions("container_id", "salt", "kind")
+
+    def score(batches):
+        pool, of = None, None
+        for pdf in batches:
+            for container, own in pdf.groupby("container_id", sort=False):
+                if (head := own[own["kind"] == 0]).size:
+                    pool, of = np.array([list(r) for r in head["pool"].iloc[0]], float), container
+                own = own[own["kind"] == 1]
+                if len(own) and of == container:
+                    scores = isolation_scores(own[names].to_numpy(float), zlib.crc32(f"{seed}-{container}".encode()), trees, pool=pool)
+                    yield own[["container_id", "timestamp_et"]].assign(score=scores)
+
+    return dealt.mapInPandas(score, "container_id long, timestamp_et timestamp_ntz, score double")

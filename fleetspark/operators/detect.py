@@ -14,10 +14,11 @@ from pyspark.sql.window import Window
 
 from fleetspark.functions.rolling import finite, strict_distance, strict_mean
 
+# Fixed values of the interface, as are the columns' names: units, windows, strategies with their default k.
 UNITS = (0, 1, 2)
 SMOOTH_WINDOW, DISTANCE_WINDOW = 10, 60
 STRATEGIES = {"mad": 3.0, "iqr": 1.5, "mean_std": 3.0}
-#: Makes the median absolute deviation comparable to a standard deviation.
+# Fixed value: makes the median absolute deviation comparable to a standard deviation.
 MAD_SCALE = 1.4826
 
 
@@ -31,9 +32,9 @@ def ingest(df: DataFrame) -> DataFrame:
     return df.select(*keys, finite(F.col("TmpRet")).alias("TmpRet")).dropna(subset=list(keys))
 
 
-def smoothed(df: DataFrame, window: int = SMOOTH_WINDOW) -> DataFrame:
-    """TmpRet_smooth: the mean of a unit's own last rows, null until there are that many and none of them null."""
-    return df.withColumn("TmpRet_smooth", strict_mean(F.col("TmpRet"), window, Window.partitionBy("container_id", "unit").orderBy("timestamp_et")))
+def smoothed(df: DataFrame, window: int = SMOOTH_WINDOW, ties: tuple[str, ...] = ("TmpRet",)) -> DataFrame:
+    """TmpRet_smooth: the mean of a unit's own last rows, null until there are that many and none of them null. Rows of one time come in the order of ties."""
+    return df.withColumn("TmpRet_smooth", strict_mean(F.col("TmpRet"), window, Window.partitionBy("container_id", "unit").orderBy("timestamp_et", *ties)))
 
 
 def pivoted(df: DataFrame, value: str = "TmpRet_smooth", units=UNITS) -> DataFrame:

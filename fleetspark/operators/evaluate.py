@@ -69,6 +69,31 @@ def label_distribution(labels: DataFrame, columns: tuple[str, ...]) -> DataFrame
     return labels.groupingSets([[F.col(c)] for c in columns], *(F.col(c) for c in columns)).agg(F.count("*").alias("n"), name, F.coalesce(*(F.col(c).cast("string") for c in columns)).alias("value")).select("column", "value", "n") if sets else labels
 
 
+def stratified_sample(df: DataFrame, strata: tuple[str, ...], n: int, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
+    """df's rows and columns, at most n of each stratum, in the order of a hash of keys: the same ones for any partitioning.
+
+    Null strata are strata too. Rows beyond four times their share of a stratum go before the sort, so that a stratum
+    with most of the rows is as little work for one task as any other.
+    """
+    taken = {c.lower() for c in df.columns}
+    names = {}
+    for name in ("hash", "size", "rank"):
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names[len(names)] = name
+    h, size, rank = names.values()
+    order = F.xxhash64(F.lit(seed), *keys)
+    sizes = df.groupBy(*(F.col(c).alias(f"{h}{i}") for i, c in enumerate(strata))).agg(F.count("*").alias(size))  # a row a stratum
+    same = F.lit(True)
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"{h}{i}"))
+    x = df.withColumn(h, order).join(sizes, same)
+    x = x.where((F.col(size) <= 4 * n) | ((F.col(h) / float(1 << 64) + 0.5) * F.col(size) < 4 * n + 40))
+    x = x.withColumn(rank, F.row_number().over(Window.partitionBy(*(f"{h}{i}" for i in range(len(strata)))).orderBy(h, *keys)))
+    return x.where(F.col(rank) <= n).select(*df.columns)
+
+
 def lead_time_bucket(days: Column) -> Column:
     return F.when(days.isNull(), "none").when(days < 1, "under 1 day").when(days < 7, "1 to 7 days").otherwise("7 days or more")
 

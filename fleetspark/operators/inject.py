@@ -16,8 +16,9 @@ BASE_TEMPERATURE = 50.0
 KINDS = ("lag", "amplitude", "frequency")
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy("container_id", "unit").orderBy("timestamp_et")) - 1)
+def with_position(df: DataFrame, ties: tuple[str, ...] = ("TmpRet",)) -> DataFrame:
+    """pos: a row's place in its unit's series, from 0. Rows of one time come in the order of ties."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy("container_id", "unit").orderBy("timestamp_et", *ties)) - 1)
 
 
 def _step(series: DataFrame, anomalies: DataFrame) -> DataFrame:

@@ -18,6 +18,14 @@ def type_distribution(df: DataFrame) -> DataFrame:
     return n.withColumn("percentage", F.bround(100.0 * F.col("unit_days") / F.sum("unit_days").over(Window.partitionBy()), 2))  # a row a type
 
 
+def unit_day_share(df: DataFrame) -> DataFrame:
+    """anomaly_type, unit_days, percentage of all unit-days, those without an anomaly included; one that several types touch counts for each."""
+    per = df.where("cont_unit_day IS NOT NULL").groupBy("cont_unit_day").agg(F.collect_set(F.when(F.col("anomaly"), F.col("anomaly_type"))).alias("types"))  # a set of types
+    n = per.agg(F.count("*").alias("all_days"))
+    by_type = per.select(F.explode("types").alias("anomaly_type")).groupBy("anomaly_type").agg(F.count("*").alias("unit_days"))
+    return by_type.join(F.broadcast(n)).select("anomaly_type", "unit_days", F.bround(100.0 * F.col("unit_days") / F.col("all_days"), 2).alias("percentage"))  # one row
+
+
 def type_counts(df: DataFrame) -> DataFrame:
     """anomaly_type, n of the anomalous rows."""
     return df.where("anomaly").groupBy("anomaly_type").agg(F.count("*").alias("n"))
@@ -59,3 +67,22 @@ def distances_with_truth(distances: DataFrame, day_labels: DataFrame) -> DataFra
     truth = day_labels.select("container_id", "day").distinct().withColumn("truth", F.lit(True))
     x = distances.withColumn("day", F.to_date("timestamp_et")).join(truth, ["container_id", "day"], "left")
     return x.withColumn("truth", F.coalesce("truth", F.lit(False))).drop("day")
+
+
+def score_overlay(df: DataFrame, scores: DataFrame, score: str = "score") -> DataFrame:
+    """container_id, trace, axis, x, y: every reading as a line of its unit, and every score as a line on the second axis; missing scores leave gaps."""
+    line = lambda d, name, axis, y: d.select("container_id", F.concat(F.lit(name), F.col("unit")).alias("trace"), F.lit(axis).alias("axis"), F.col("timestamp_et").alias("x"), F.col(y).cast("double").alias("y"))
+    return line(df, "unit ", "y", "TmpRet").unionByName(line(scores, "score of unit ", "y2", score))
+
+
+def flagged_series(df: DataFrame, flags: DataFrame) -> DataFrame:
+    """df's container_id, unit, timestamp_et and TmpRet with flagged: whether the detector flagged the unit then; times without a flag count as not flagged."""
+    key = ["container_id", "unit", "timestamp_et"]
+    hit = flags.where("anomaly_flag").select(*key).distinct().withColumn("flagged", F.lit(True))
+    return df.select(*key, "TmpRet").join(hit, key, "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+
+
+def grouped_bars(results: DataFrame, group: str = "method", metrics: tuple[str, ...] = ("auc_pr", "auc_roc")) -> DataFrame:
+    """group, metric, value: a bar per group and metric; metrics without a value have no bar."""
+    bars = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))
+    return results.select(F.col(group).alias("group"), bars.alias("b")).select("group", "b.metric", "b.value").where("value IS NOT NULL")

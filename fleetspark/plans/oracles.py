@@ -146,6 +146,12 @@ TRUTH = f"""
 SELECT l.container_id, timestamp_et, pair, round(distance, 6) AS distance, t.container_id IS NOT NULL AS truth FROM {long()} l
 LEFT JOIN {values([(0, "2024-01-01"), (1, "2024-01-01")], "container_id, day")} t ON l.container_id = t.container_id AND CAST(timestamp_et AS DATE) = CAST(t.day AS DATE)"""
 
+LEAD_TIMES = f"""(SELECT 'lead_time' AS stratum, CASE WHEN doc_id % 10 = 9 THEN 'none' WHEN doc_id % 10 < 1 THEN 'under 1 day' WHEN doc_id % 10 < 7 THEN '1 to 7 days' ELSE '7 days or more' END AS value, n_chars, toxic FROM {DOCUMENTS})"""
+#: container, unit, rows of each type, whether any row is anomalous; container 0 is drawn.
+MIXED_ROWS = [(0, u, 0, 0, 0, None) for u in range(3)] + [(1, u, 300 * (u == 2), 0, 0, u == 2) for u in range(3)] + [(2, u, 0, 0, 0, False) for u in range(3)] + [(3, u, 0, 180, 120 * (u == 1), True) for u in range(3)]
+SCORED = f"""(SELECT *, CASE unit WHEN 0 THEN CASE WHEN dist_1 IS NOT NULL AND dist_2 IS NOT NULL THEN least(dist_1, dist_2) END WHEN 1 THEN CASE WHEN dist_0 IS NOT NULL AND dist_2 IS NOT NULL THEN least(dist_0, dist_2) END
+  ELSE CASE WHEN dist_0 IS NOT NULL AND dist_1 IS NOT NULL THEN least(dist_0, dist_1) END END AS score FROM {flags("mad", 1)})"""
+
 ORACLES: dict[str, str] = {
     "rolling_mean_smooth": rounded("container_id, timestamp_et, unit", "TmpRet, TmpRet_smooth", smooth(DENSE, SMOOTH)),
     "rolling_distance": f"""
@@ -184,4 +190,16 @@ ORACLES: dict[str, str] = {
     "zscore_baseline": f"""SELECT container_id, timestamp_et, unit, round(TmpRet, 6) AS TmpRet, round(z, 6) AS score, coalesce(z > 1.5, false) AS flagged
       FROM (SELECT *, abs(TmpRet - avg(TmpRet) OVER w) / nullif(stddev(TmpRet) OVER w, 0) AS z FROM {DENSE} WINDOW w AS (PARTITION BY container_id, unit))""",
     "load_dataset": f"SELECT * FROM {DOCUMENTS}",
+    "generated_fleet_mixed": f"SELECT container_id::BIGINT AS container_id, unit::BIGINT AS unit, 5760::BIGINT AS rows, lag_rows::BIGINT AS lag_rows, amplitude_rows::BIGINT AS amplitude_rows, frequency_rows::BIGINT AS frequency_rows, any_anomaly::BOOLEAN AS any_anomaly FROM {values(MIXED_ROWS, 'container_id, unit, lag_rows, amplitude_rows, frequency_rows, any_anomaly')}",
+    "generated_fleet_shape": "SELECT c AS container_id, u AS unit, 4320::BIGINT AS rows, 4320::BIGINT AS times, '2024-01-01 00:00:00' AS first, '2024-01-03 23:59:00' AS last, 0::BIGINT AS outside, 0::BIGINT AS anomalies FROM range(5) a(c), range(3) b(u)",
+    "cycle_shape": "SELECT 50::BIGINT AS containers, 500::BIGINT AS days, 0::BIGINT AS too_many, 0::BIGINT AS short, 0::BIGINT AS late, 0::BIGINT AS odd_peaks, 0::BIGINT AS odd_baselines",
+    "random_scorer_shape": "SELECT count(*) AS n, 0::BIGINT AS outside, true AS centred FROM documents",
+    "results_table_shape": f"SELECT method, positives, negatives, 1::BIGINT AS within FROM {metrics(DAY_SCORES, 'anomaly_score', 'label')}, (VALUES ('distance'), ('random')) AS m(method)",
+    "unit_day_share": f"""SELECT anomaly_type, count(*) AS unit_days, round_even(100.0::DOUBLE * count(*) / any_value(n), 2)::DOUBLE AS percentage FROM (
+      SELECT DISTINCT anomaly_type, container_id, unit, CAST(timestamp_et AS DATE) AS day FROM {EVENTS} WHERE anomaly), (SELECT count(*) AS n FROM (SELECT DISTINCT container_id, unit, CAST(timestamp_et AS DATE) FROM {EVENTS})) GROUP BY 1""",
+    "breakdown_by_lead_time": rounded("stratum, value, positives, negatives", "auc_pr, auc_roc", metrics(LEAD_TIMES, "n_chars", "toxic", "stratum, value")),
+    "stratified_sample": f"SELECT lang, toxic, least(count(*), 25) AS n, least(count(*), 25) AS different FROM {DOCUMENTS} GROUP BY lang, toxic",
+    "score_overlay": f"SELECT container_id, 'unit ' || unit AS trace, 'y' AS axis, timestamp_et AS x, round(TmpRet, 6) AS y FROM {DENSE} UNION ALL SELECT container_id, 'score of unit ' || unit, 'y2', timestamp_et, round(score, 6) FROM {SCORED}",
+    "flagged_series": f"SELECT s.container_id, s.unit, s.timestamp_et, round(s.TmpRet, 6) AS TmpRet, f.unit IS NOT NULL AS flagged FROM {DENSE} s LEFT JOIN (SELECT container_id, unit, timestamp_et FROM {flags('mad', 1)} WHERE anomaly_flag) f ON s.container_id = f.container_id AND s.unit = f.unit AND s.timestamp_et = f.timestamp_et",
+    "grouped_bars": f"SELECT \"group\", metric, round(value, 6) AS value FROM (SELECT value AS \"group\", 'auc_pr' AS metric, auc_pr AS value FROM {metrics(STRATA, 'n_chars', 'toxic', 'stratum, value')} WHERE stratum = 'lang' UNION ALL SELECT value, 'auc_roc', auc_roc FROM {metrics(STRATA, 'n_chars', 'toxic', 'stratum, value')} WHERE stratum = 'lang') WHERE value IS NOT NULL",
 }

@@ -161,6 +161,70 @@ def _fleet(spark, d):
     return generate.generate_fleet(spark, 4, START, 3, 0.5)
 
 
+#: Explicit anomalies of containers 1 and 3; container 2 is clean, 0 left to the draw, which is certain.
+MIXED = [(1, 0, 2, "lag", 0, 6, 5, 60, None, None), (3, 0, 0, "amplitude", 1, 2, 3, None, 0.3, None), (3, 1, 1, "frequency", 0, 4, 2, None, None, 2.0)]
+
+
+def _fleet_mixed(spark, d):
+    explicit = spark.createDataFrame(MIXED, schemas.ANOMALIES)
+    rows = generate.generate_fleet(spark, 4, START, 4, 1.0, explicit, clean=[2])
+    known = F.col("container_id").isin(1, 2, 3)
+    return rows.groupBy("container_id", "unit").agg(F.count("*").alias("rows"), *(F.sum((known & (F.col("anomaly_type") == k)).cast("int")).alias(f"{k}_rows") for k in ("lag", "amplitude", "frequency")), (F.bool_or("anomaly") | F.lit(False)).alias("any")).select("container_id", "rows", "unit", "lag_rows", "amplitude_rows", "frequency_rows", F.when(known, F.col("any")).alias("any_anomaly"))
+
+
+def _fleet_shape(spark, d):
+    """What holds of every synthetic fleet, a row per container and unit."""
+    rows = generate.generate_fleet(spark, 5, START, 3, 0.0)
+    return rows.groupBy("container_id", "unit").agg(F.count("*").alias("rows"), F.countDistinct("timestamp_et").alias("times"), F.min("timestamp_et").cast("string").alias("first"), F.max("timestamp_et").cast("string").alias("last"), F.count_if(~F.col("TmpRet").between(44.5, 70.5)).alias("outside"), F.count_if("anomaly").alias("anomalies"))
+
+
+def _cycle_shape(spark, d):
+    """What holds of every day's cycles: three to five at most, none short, none past its day."""
+    c = generate.cycle_timings(spark, 50, 10).withColumn("day", F.expr(f"cycle_start div {generate.DAY}"))
+    days = c.groupBy("container_id", "day").agg(F.count("*").alias("n"), F.min(F.col("cycle_end") - F.col("cycle_start")).alias("least"), F.max(F.col("cycle_end") - (F.col("day") + 1) * generate.DAY).alias("over"), F.min("peak_intensity").alias("low"), F.max("peak_intensity").alias("high"), F.countDistinct("baseline_offset").alias("baselines"))
+    return days.agg(F.countDistinct("container_id").alias("containers"), F.count("*").alias("days"), F.count_if(~F.col("n").between(1, 5)).alias("too_many"), F.count_if(F.col("least") < 20).alias("short"), F.count_if(F.col("over") > 0).alias("late"), F.count_if((F.col("low") < 0.85) | (F.col("high") > 1)).alias("odd_peaks"), F.count_if(F.col("baselines") != 1).alias("odd_baselines"))
+
+
+def _chance(spark, d):
+    """What holds of random scores: one for every row, within 0 and 1, their mean near a half."""
+    s = baselines.random_scores(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return s.agg(F.count("*").alias("n"), F.count_if(~F.col("score").between(0, 1)).alias("outside"), (F.abs(F.avg("score") - 0.5) < 0.05).alias("centred"))
+
+
+def _days_per_method(spark, d):
+    r = _results(spark, d)
+    return r.groupBy("method").agg(F.max("positives").alias("positives"), F.max("negatives").alias("negatives"), F.count_if(F.col("auc_pr").between(0, 1) & F.col("auc_roc").between(0, 1)).alias("within"))
+
+
+def _unit_day_share(spark, d):
+    return report.unit_day_share(report.unit_day(_events(spark, d)))
+
+
+def _lead_times(spark, d):
+    docs = labelled_documents(spark, d).withColumn("lead_time_days", F.when(F.col("doc_id") % 10 != 9, (F.col("doc_id") % 10).cast("int")))
+    return rounded(evaluate.metric_breakdown(docs.withColumn("lead_time", evaluate.lead_time_bucket(F.col("lead_time_days"))), ("lead_time",), "n_chars", "toxic"))
+
+
+def _stratified(spark, d):
+    picked = evaluate.stratified_sample(labelled_documents(spark, d), ("lang", "toxic"), 25, ("doc_id",))
+    return picked.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("different"))
+
+
+def _overlay(spark, d):
+    rows = sensor_dense(spark, d)
+    scores = detect.unit_scores(detect.detect(rows, SMOOTH, DISTANCE, "mad", 1)[0])
+    return rounded(report.score_overlay(rows, scores))
+
+
+def _flagged(spark, d):
+    rows = sensor_dense(spark, d)
+    return rounded(report.flagged_series(rows, detect.detect(rows, SMOOTH, DISTANCE, "mad", 1)[0]))
+
+
+def _bars(spark, d):
+    return rounded(report.grouped_bars(evaluate.metric_breakdown(labelled_documents(spark, d), ("lang",), "n_chars", "toxic"), "value"))
+
+
 def _iforest(spark, d):
     return baselines.isolation_forest(sensor_dense(spark, d))
 
@@ -210,6 +274,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "random_scorer": lambda spark, d: baselines.random_scores(table(spark, d, "labels").select("doc_id"), "doc_id"),
     "results_table": _results,
     "generated_fleet": _fleet,
+    "generated_fleet_mixed": _fleet_mixed,
+    "generated_fleet_shape": _fleet_shape,
+    "cycle_shape": _cycle_shape,
+    "random_scorer_shape": _chance,
+    "results_table_shape": _days_per_method,
+    "unit_day_share": _unit_day_share,
+    "breakdown_by_lead_time": _lead_times,
+    "stratified_sample": _stratified,
+    "score_overlay": _overlay,
+    "flagged_series": _flagged,
+    "grouped_bars": _bars,
     "iforest_scores": _iforest,
     "pca_error": _pca,
 }

@@ -9,39 +9,31 @@ from pyspark.sql import functions as F
 from fleetspark.functions.rolling import rolling_euclidean_distance
 from fleetspark.operators import detect
 from fleetspark.operators.baselines import zscores
+from fleetspark.operators.inject import with_position
 from fleetspark.sources import schemas
 
-T0 = dt.datetime(2026, 1, 1)
-SMOOTH, DISTANCE = 5, 30
+T0 = dt.datetime(2024, 3, 9, 22, 0)
+SMOOTH, DISTANCE = 2, 4
 
 
 def at(minute):
     return T0 + dt.timedelta(minutes=minute)
 
 
-def wave(container, n, shifted=(), periods=2):
-    """Three units on one sine, with a little noise of their own; (unit, begin, end, by) are shifted."""
-    rows = []
-    for u in range(3):
-        for m in range(n):
-            v = 50 + 10 * math.sin(2 * math.pi * periods * m / n) + 0.1 * math.sin(12.9898 * (m + 7 * u) + 78.233 * u)
-            rows.append((container, at(m), u, v + sum(by for w, b, e, by in shifted if w == u and b <= m < e)))
-    return rows
+def steps(container, n, unit_values):
+    """unit_values: for each unit a function of the minute."""
+    return [(container, at(m), u, float(f(m))) for u, f in enumerate(unit_values) for m in range(n)]
 
 
 @pytest.fixture(scope="module")
-def one(spark):
-    return spark.createDataFrame(wave(0, 500, [(1, 200, 300, 5.0)]), schemas.SENSOR).cache()
+def ramp(spark):
+    """Container 4: units 0 and 1 rise alike, 1 a constant 2 above; unit 2 leaves by 6 from minute 12 to 19."""
+    return spark.createDataFrame(steps(4, 40, [lambda m: m, lambda m: m + 2, lambda m: m + (7 if 12 <= m < 20 else 1)]), schemas.SENSOR).cache()
 
 
 @pytest.fixture(scope="module")
-def two(spark):
-    return spark.createDataFrame(wave(0, 300, [(2, 100, 200, 8.0)], 1) + wave(1, 300, periods=1), schemas.SENSOR).cache()
-
-
-@pytest.fixture(scope="module")
-def pairs(one):
-    return detect.compute_pairwise_distances(one, SMOOTH, DISTANCE).cache()
+def pairs(ramp):
+    return detect.compute_pairwise_distances(ramp, SMOOTH, DISTANCE).cache()
 
 
 def series(spark, values):
@@ -53,10 +45,9 @@ def rolled(spark, a, b, n):
 
 
 def test_rolling_distance(spark):
-    same = rolled(spark, [1.0] * 100, [1.0] * 100, 10)
-    assert len(same) == 100 and same[:9] == [None] * 9 and set(same[9:]) == {0.0}
-    apart = rolled(spark, [1.0] * 100, [6.0] * 100, 10)
-    assert all(math.isclose(x, math.sqrt(250)) for x in apart[9:])
+    got = rolled(spark, [3.0, 0.0, 0.0, 5.0, 1.0], [0.0, 4.0, 0.0, -7.0, 1.0], 2)
+    assert got == [None, 5.0, 4.0, 12.0, 12.0]
+    assert rolled(spark, [2.5] * 4, [2.5] * 4, 3) == [None, None, 0.0, 0.0]
 
 
 def test_rolling_distance_needs_every_value(spark):
@@ -65,37 +56,54 @@ def test_rolling_distance_needs_every_value(spark):
     assert rolled(spark, [1.0, 2.0], [0.0, 0.0], 3) == [None, None]
 
 
-def test_pairs(pairs, two):
-    assert pairs.columns == ["container_id", "timestamp_et", "pair", "distance"]
-    assert pairs.count() == 3 * (500 - SMOOTH + 1) and pairs.where("distance IS NULL").count() == 3 * (DISTANCE - 1)
-    most = {r["pair"]: r["m"] for r in pairs.groupBy("pair").agg(F.max("distance").alias("m")).collect()}
-    assert sorted(most) == ["0_1", "0_2", "1_2"] and most["0_1"] > most["0_2"] and most["1_2"] > most["0_2"]
-    both = detect.compute_pairwise_distances(two, SMOOTH, DISTANCE)
-    assert both.count() == 2 * 3 * (300 - SMOOTH + 1) and {r["container_id"] for r in both.select("container_id").distinct().collect()} == {0, 1}
+def test_pairs(pairs):
+    """Means of two minutes, distances over four of them: sqrt(4) * 2 for 0 and 1, whatever happens to unit 2."""
+    got = {(r["pair"], (r["timestamp_et"] - T0).seconds // 60): r["distance"] for r in pairs.collect()}
+    assert len(got) == 3 * 39 and min(m for _, m in got) == 1
+    assert all(got[p, m] is None for p in ("0_1", "0_2", "1_2") for m in (1, 2, 3))
+    assert all(got["0_1", m] == pytest.approx(4) for m in range(4, 40))
+    # unit 2's mean is 1, 4 (minute 12), 7 (13 to 19), 4 (20), 1 above unit 0's
+    above = {m: 4 if m in (12, 20) else 7 if 13 <= m <= 19 else 1 for m in range(1, 40)}
+    for m in range(4, 40):
+        assert got["0_2", m] == pytest.approx(math.sqrt(sum(above[k] ** 2 for k in range(m - 3, m + 1))))
+        assert got["1_2", m] == pytest.approx(math.sqrt(sum((above[k] - 2) ** 2 for k in range(m - 3, m + 1))))
 
 
 def test_flags(pairs):
-    before = pairs.columns
-    flags, limits = detect.flag_anomalies(pairs, "mad", 3)
-    assert flags.columns == ["timestamp_et", "container_id", "unit", "dist_0", "dist_1", "dist_2", "anomaly_flag", "model"]
-    assert limits.columns == ["container_id", "threshold", "strategy"] and limits.count() == 1
-    assert flags.count() == 3 * (500 - SMOOTH - DISTANCE + 2)
-    for u in range(3):
-        assert flags.where(f"unit = {u} AND dist_{u} <> 0").count() == 0
-    assert {r["unit"] for r in flags.where("anomaly_flag").select("unit").distinct().collect()} == {1}
-    assert detect.flag_anomalies(pairs, "iqr", 1.5)[0].where("anomaly_flag").count() > 0
-    assert pairs.columns == before
-
-
-def test_detect_is_flags_of_pairs(one, pairs):
+    """Pooled distances are mostly 2 and 4, so that both median and median deviation are known, and unit 2 alone exceeds the limit to both others."""
+    flags, limits = detect.flag_anomalies(pairs, "mad", 1)
+    row = limits.first()
+    assert (row["container_id"], row["strategy"]) == (4, "mad") and row["threshold"] == pytest.approx(4 + 2 * 1.4826)
+    rows = {(r["unit"], (r["timestamp_et"] - T0).seconds // 60): r for r in flags.collect()}
+    assert len(rows) == 3 * 36
+    for (unit, m), r in rows.items():
+        own = {v: r[f"dist_{v}"] for v in (0, 1, 2)}
+        assert own.pop(unit) == 0 and r["anomaly_flag"] == all(d > row["threshold"] for d in own.values()) and r["model"] == "euclidean_distance_mad"
+    assert {u for (u, _), r in rows.items() if r["anomaly_flag"]} == {2} and rows[2, 16]["anomaly_flag"] and not rows[2, 30]["anomaly_flag"]
+
+
+def test_detect_is_flags_of_pairs(ramp, pairs):
     for strategy in detect.STRATEGIES:
-        a, b = detect.detect(one, SMOOTH, DISTANCE, strategy)[0], detect.flag_anomalies(pairs, strategy)[0]
+        a, b = detect.detect(ramp, SMOOTH, DISTANCE, strategy)[0], detect.flag_anomalies(pairs, strategy)[0]
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def test_thresholds(spark, two):
-    both = detect.thresholds(detect.compute_pairwise_distances(two, SMOOTH, DISTANCE)).orderBy("container_id").collect()
-    assert [r["container_id"] for r in both] == [0, 1] and both[0]["threshold"] != both[1]["threshold"]
+def test_thresholds_of_each_container(spark):
+    """Two units a constant c apart have distances of sqrt(DISTANCE) * c only, so the median is the threshold of k = 0."""
+    rows = [r for c, gap in ((7, 1), (8, 3)) for r in steps(c, 12, [lambda m: 0, lambda m, gap=gap: gap])]
+    found = detect.thresholds(detect.compute_pairwise_distances(spark.createDataFrame(rows, schemas.SENSOR), SMOOTH, DISTANCE), "mad", 0)
+    assert {r["container_id"]: r["threshold"] for r in found.collect()} == {7: 2.0, 8: 6.0}
+
+
+def test_ties_have_an_order(spark):
+    rows = [(0, at(0), 0, 5.0), (0, at(0), 0, 1.0), (0, at(1), 0, 2.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schemas.SENSOR)
+        assert sorted((r["TmpRet"], r["TmpRet_smooth"]) for r in detect.smoothed(df, 2).where("TmpRet_smooth IS NOT NULL").collect()) == [(2.0, 3.5), (5.0, 3.0)]
+        assert sorted((r["pos"], r["TmpRet"]) for r in with_position(df).collect()) == [(0, 1.0), (1, 5.0), (2, 2.0)]
+
+
+def test_thresholds(spark):
     d = spark.createDataFrame([(0, T0, "0_1", x) for x in (1.0, 2.0, 4.0, 9.0, None, float("nan"))] + [(0, T0, "other", 5.0), (1, T0, "0_1", None), (None, T0, "0_1", 3.0)], schemas.PAIR_DISTANCE)
     limit = lambda s, k: {r["container_id"]: r["threshold"] for r in detect.thresholds(d, s, k).collect()}
     assert limit("mad", 0) == {0: 4.0, 1: None}  # pooled over all pairs, k = 0 honoured, a container without distances kept
@@ -150,9 +158,9 @@ def test_duplicates_are_averaged(spark):
     assert (wide["u0"], wide["u1"]) == (2.0, 1.0)
 
 
-def test_one_exchange(one):
+def test_one_exchange(ramp):
     """Rows are dealt out by container once for smoothing, pivot and pair windows."""
-    plan = detect.wide_distances(one, SMOOTH, DISTANCE)._jdf.queryExecution().executedPlan().toString()
+    plan = detect.wide_distances(ramp, SMOOTH, DISTANCE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in plan and "Python" not in plan
 
 

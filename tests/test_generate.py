@@ -190,3 +190,49 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["container_id"]: r["anomaly_score"] for r in spark.sql("SELECT * FROM maxima").collect()} == {0: 4.0, 9: 99.0}
+
+
+def test_mixed_fleet_and_one_container(spark):
+    explicit = spark.createDataFrame([(1, 0, 2, "lag", 0, 1, 2, 30, None, None)], schemas.ANOMALIES)
+    mixed = generate.generate_fleet(spark, 4, START, 3, 1.0, explicit, clean=[3])
+    drawn = generate.generate_fleet(spark, 4, START, 3, 1.0)
+    kinds = {c: {r["anomaly_type"] for r in mixed.where((F.col("container_id") == c) & F.col("anomaly")).select("anomaly_type").distinct().collect()} for c in range(4)}
+    assert kinds[1] == {"lag"} and kinds[3] == set() and len(kinds[0]) == len(kinds[2]) == 1
+    for c in (0, 2):  # the draw of a container doesn't depend on the others
+        a, b = (x.where(F.col("container_id") == c) for x in (mixed, drawn))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    one = generate.generate_container(spark, 1, START, 3, explicit)
+    assert one.exceptAll(mixed.where("container_id = 1")).isEmpty() and one.count() == 3 * 3 * 1440
+    keys = [(r["timestamp_et"], r["unit"]) for r in one.select("timestamp_et", "unit").collect()]
+    assert keys == sorted(keys)
+
+
+def test_unit_day_share(spark):
+    rows = [("2024-01-01 01:00:00", 0, True, "lag"), ("2024-01-01 02:00:00", 0, True, "amplitude"), ("2024-01-01 02:00:00", 1, False, "normal"), ("2024-01-02 01:00:00", 0, False, "normal"), ("2024-01-02 01:00:00", 1, True, "lag"), ("2024-01-02 03:00:00", 1, False, "normal"), (None, 1, True, "lag")]
+    df = spark.createDataFrame(rows, "t string, unit long, anomaly boolean, anomaly_type string").select("unit", "anomaly", "anomaly_type", F.lit(5).alias("container_id"), F.to_timestamp_ntz("t").alias("timestamp_et"))
+    got = {r["anomaly_type"]: (r["unit_days"], r["percentage"]) for r in report.unit_day_share(report.unit_day(df)).collect()}
+    assert got == {"lag": (2, 50.0), "amplitude": (1, 25.0)}
+
+
+def test_stratified_sample(spark):
+    df = spark.range(5000).select(F.col("id").alias("hash"), F.when(F.col("id") % 100 < 98, "big").when(F.col("id") % 100 < 99, "small").alias("kind"))
+    picked = evaluate.stratified_sample(df, ("kind",), 60, ("hash",))
+    assert picked.columns == df.columns and {r["kind"]: r["count"] for r in picked.groupBy("kind").count().collect()} == {"big": 60, "small": 50, None: 50}
+    again = evaluate.stratified_sample(df.repartition(7), ("kind",), 60, ("hash",))
+    assert again.exceptAll(picked).isEmpty() and again.where("kind = 'big'").agg(F.max("hash")).first()[0] > 2500
+
+
+def test_forest_scores_do_not_depend_on_batches(spark):
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    whole = baselines.isolation_scores(x, 9, 10, pool=x[:100])
+    assert np.array_equal(np.concatenate([baselines.isolation_scores(p, 9, 10, pool=x[:100]) for p in (x[:7], x[7:250], x[250:])]), whole)
+
+
+def test_report_data(spark):
+    rows = spark.createDataFrame([(1, 0, 5.0, 1.5), (1, 1, 6.0, None)], "container_id long, unit long, TmpRet double, score double").withColumn("timestamp_et", F.to_timestamp_ntz(F.lit(START)))
+    overlay = report.score_overlay(rows, rows).collect()
+    assert sorted((r["trace"], r["axis"], r["y"]) for r in overlay if r["y"] is not None) == [("score of unit 0", "y2", 1.5), ("unit 0", "y", 5.0), ("unit 1", "y", 6.0)]
+    flags = rows.where("unit = 1").select("container_id", "unit", "timestamp_et", F.lit(True).alias("anomaly_flag"))
+    assert [(r["unit"], r["flagged"]) for r in report.flagged_series(rows, flags.unionAll(flags)).orderBy("unit").collect()] == [(0, False), (1, True)]
+    bars = report.grouped_bars(spark.createDataFrame([("a", 0.5, None)], "method string, auc_pr double, auc_roc double")).collect()
+    assert [tuple(b) for b in bars] == [("a", "auc_pr", 0.5)]
