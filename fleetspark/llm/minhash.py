@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspark.llm import shared
@@ -105,8 +105,12 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set; null for empty sets), signature."""
+    """doc_id, text_key, n_shingles, d1 and d2 (digest of the set; null for empty sets), signature."""
 
     def run(batches):
         import xxhash
@@ -115,7 +119,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
         memory: dict[bytes, int] = {}
         for batch in small_batches(batches):
             n, d1, d2, signatures = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text or b"", size, memory)
                 n.append(len(s))
                 if len(s):
@@ -126,9 +130,9 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 else:
                     for x in (d1, d2, signatures):
                         x.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "text_key", "n_shingles", "d1", "d2", "signature"])
 
-    return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")), run, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
+    return lean(docs.select(F.col("doc_id").cast("long"), text_key(), F.col("text").cast("string").cast("binary")), run, "doc_id long, text_key long, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def _variants() -> list[tuple[int, ...]]:
@@ -396,14 +400,8 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: Data
     return written(found.groupBy("a", "b").agg(F.max("held").alias("held")), "near-across")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (doc_id = component_id).
-
-    Two rows are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without
-    words have an empty set and are linked with nothing. Rows that repeat are linked by their texts; doc_ids are taken
-    to be unique, and rows that share one are judged by their texts each. A row without a doc_id takes no part: its
-    component is null and it is kept. An empty table gives an empty result. Only doc_id and text are read.
-    """
+def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, d1 (null for empty sets) and component (null without a doc_id) of each row of docs."""
     signed = written(_signed(docs, shingle_words), "near-signed")
     classes = signed.where("d1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = written(classes, "near-classes")
@@ -420,15 +418,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
             break
     of_class = written(_labelled(classes.select("d1", "d2", "rep"), comps).select("d1", "d2", "component"), "near-of-class")
     out = signed.join(of_class, ["d1", "d2"], "left")  # a class with many copies is a skewed key, which Spark splits at run time
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "d1", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (doc_id = component_id).
+
+    Two rows are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without
+    words have an empty set and are linked with nothing. Rows that repeat are linked by their texts; doc_ids are taken
+    to be unique, and rows that share one are judged by their texts each. A row without a doc_id takes no part: its
+    component is null and it is kept. An empty table gives an empty result. Only doc_id and text are read.
+    """
+    out = _grouped(docs, shingle_words, percent)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+#: Rows without a doc_id get one from here on while near copies are dropped, by their texts.
+STAND_INS = 1 << 62
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """docs' rows and columns with one document of each group: the one with the least doc_id."""
-    (name,) = fresh(docs, "_gone")
-    gone = written(near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    return docs.join(broadcast_if_small(gone, BROADCAST_IDS), F.col("doc_id") == F.col(name), "left_anti")
+    """docs' rows and columns with one row of each group of near copies: the one with the least doc_id.
+
+    Of rows that share this doc_id, the text with the least hash stays; of rows that repeat (doc_id and text), one. Rows
+    without a doc_id are members of groups like others, and stay where no row of their group has one. Null texts and
+    texts without words are in no group; of those that repeat, with the same doc_id, one row stays. An empty table gives
+    an empty result; further columns stay as they are, whatever their names.
+    """
+    own, key = fresh(docs, "_own", "_key")
+    stand_in = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(STAND_INS - 1).bitwiseOR(F.lit(STAND_INS))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), "text")
+    rows = _grouped(named, shingle_words, percent).withColumn("lone", F.when(F.col("d1").isNull(), F.struct("doc_id", "text_key")))
+    rows = written(rows.groupBy("doc_id", "text_key", "component", "lone").agg(F.count("*").alias("n")), "near-rows")
+    stays = rows.groupBy("component", "lone").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), F.lit(True).alias("stays"))
+    rows = written(rows.join(stays, ["doc_id", "text_key"], "left"), "near-judged")
+    names = lambda df: broadcast_if_small(df.select(F.col("doc_id").alias(own), F.col("text_key").alias(key)), BROADCAST_IDS)
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), stand_in), key: text_key()})
+    kept = keyed.join(names(rows.where("stays IS NULL")), [own, key], "left_anti")
+    again = written(rows.where("stays AND n > 1"), "near-again")
+    if not again.isEmpty():
+        kept = kept.join(names(again), [own, key], "left_anti").unionByName(kept.join(names(again), [own, key], "left_semi").dropDuplicates([own, key]))
+    return kept.select(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Method: *concatenate and cut* in two passes without a shuffle of tokens.
 
 1. Every input partition tokenizes its rows once and writes (partition, place in the partition's token stream, ids).
    The table in the shared folder fixes the order, so that a task that runs again in pass 2 sees the same stream.
-2. The partitions' token totals (one number each) are prefix-summed; base + place is a document's place in the
-   global stream, and each document is cut where it crosses a multiple of the window: those pieces are the boundary
+2. The partitions' token totals (a row each) are prefix-summed by a window function; base + place is a document's place
+   in the global stream, and each document is cut where it crosses a multiple of the window: those pieces are the boundary
    records. Only the last sequence of all can be shorter than the window.
 """
 
@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from fleetspark.llm.shared import small_batches, table, written
+from fleetspark.llm.shared import broadcast_if_small, lean, small_batches, table, written
 
 SEQUENCE_LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Words and pieces of words whose ids a worker remembers; its memory starts anew beyond that. Speed only.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a task remembers; its memory starts anew beyond that. Speed only.
+REMEMBERED = 150_000
+#: Input partitions whose places in the stream are broadcast, 12 bytes each.
+BROADCAST_PARTS = 1_000_000
 
 #: Characters whose lower-casing, normalisation and class are beyond doubt in every Unicode version; words with others go through the whole tokenizer.
 PLAIN = re.compile("[\\x21-\\x7e\\u00a1-\\u012f\\u0131-\\u017f]*")
@@ -114,7 +117,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One a Python worker, which Spark uses for task after task."""
+    """One a Python worker, which Spark uses for task after task; tasks forget the words when they end."""
     return Encoder(path)
 
 
@@ -133,8 +136,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             places = place + np.cumsum(n) - n
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column(0), pa.array(n), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "tokens", "ids"])
+        encode.words.clear()
+        encode.pieces.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "part int, place long, doc_id long, tokens long, ids binary")
+    return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")), run, "part int, place long, doc_id long, tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = SEQUENCE_LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -144,15 +149,11 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = SEQUENCE_L
     Every row of docs is one document, also rows that repeat or have a null doc_id; a null or empty text is the end id
     alone. An empty table has no pieces. Columns besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
     parts = written(tokenized(docs, tokenizer_path, end_id), "packing-ids")
-    totals = sorted((r["part"], r["total"]) for r in parts.groupBy("part").agg(F.sum("tokens").alias("total")).collect())  # one row per input partition
-    bases, total = [], 0
-    for part, n in totals:
-        bases.append((part, total))
-        total += n
-    base = spark.createDataFrame(bases, "part int, base long")
-    placed = parts.join(F.broadcast(base), "part")  # a row per partition
+    totals = parts.groupBy("part").agg(F.sum("tokens").alias("total"))  # one row per input partition
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = written(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")), "packing-bases")
+    placed = parts.join(broadcast_if_small(base, BROADCAST_PARTS), "part")
 
     def cut(batches):
         import numpy as np
@@ -170,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = SEQUENCE_L
                     start += length
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if f.name == "ids" else pa.int64()) for x, f in zip(out, PIECES, strict=True)], PIECES.names)
 
-    return placed.select("doc_id", (F.col("base") + F.col("place")).alias("at"), "tokens", "ids").mapInArrow(cut, PIECES)
+    return lean(placed.select("doc_id", (F.col("base") + F.col("place")).alias("at"), "tokens", "ids"), cut, PIECES)
 
 
 def default_tokenizer() -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import small_batches, table, written
+from fleetspark.llm.shared import lean, small_batches, table, written
 
 LENGTH = 400
 #: Strings that start in a slice of a text are handled at a time.
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "own", "lo", "hi", "place", "k1", "k2"])
 
-    all_runs = written(text.where(F.octet_length("text") >= length).mapInArrow(anchored, "anchor long, own long, lo int, hi int, place int, k1 long, k2 long"), "suffix-runs")
+    all_runs = written(lean(text.where(F.octet_length("text") >= length), anchored, "anchor long, own long, lo int, hi int, place int, k1 long, k2 long"), "suffix-runs")
     # a table, so that both sides of the join are plain exchanges, whose skewed partitions Spark can split
     twice = written(all_runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     found = written(all_runs.join(twice, "anchor"), "suffix-candidates")  # an anchor that many texts share is a skewed key, which Spark splits at run time
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append((s["anchor"], s["classes"], s["n"], s["lo"], s["span"], s["shift"], k1, k2, t[s["lo"] : s["lo"] + s["span"] + length]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "classes", "n", "lo", "span", "shift", "k1", "k2", "bytes"])
 
-    segments = written(holders.mapInArrow(cut, "anchor long, classes long, n long, lo int, span int, shift int, k1 long, k2 long, bytes binary"), "suffix-segments")
+    segments = written(lean(holders, cut, "anchor long, classes long, n long, lo int, span int, shift int, k1 long, k2 long, bytes binary"), "suffix-segments")
 
     def sorted_groups(batches):
         rows: list[tuple] = []
@@ -272,7 +272,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = segments.where(F.col("classes") <= GROUP).repartition(parts, "anchor").sortWithinPartitions("anchor")
-    few = few.select("anchor", "lo", "span", "shift", "k1", "k2", "bytes", "n").mapInArrow(sorted_groups, "k1 long, k2 long, start int, end int")
+    few = lean(few.select("anchor", "lo", "span", "shift", "k1", "k2", "bytes", "n"), sorted_groups, "k1 long, k2 long, start int, end int")
 
     def digests(batches):
         import xxhash
@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k1, k2, lo + p, n))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["d1", "d2", "k1", "k2", "start", "n"])
 
-    strings = segments.where(F.col("classes") > GROUP).mapInArrow(digests, "d1 long, d2 long, k1 long, k2 long, start int, n long")
+    strings = lean(segments.where(F.col("classes") > GROUP), digests, "d1 long, d2 long, k1 long, k2 long, start int, n long")
     again = strings.groupBy("d1", "d2").agg(F.count("*").alias("m")).where("m > 1").select("d1", "d2")
     many = strings.where("n = 1").join(again, ["d1", "d2"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
     return whole.unionByName(few).unionByName(many)
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     else:  # texts without spans need not move
         without = _selected(texts, keys, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
         joined = _selected(texts, keys, "left_semi").join(spans, ["k1", "k2"]).unionByName(without)
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, result)
+    return lean(joined.select("doc_id", "text", "spans"), cut, result)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
