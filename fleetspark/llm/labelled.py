@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import hash_sample
+from fleetspark.llm.shared import hash_sample, written
 
 
 def fold(modulus: int) -> Column:
@@ -14,17 +14,23 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out fold, half of each label as far as there are.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out fold, half of each label as far as
+    there are; and how many labelled documents each sampled one stands for, by label, so that weighted losses see the
+    labels' true rate at every size.
 
     Rows are taken in the order of a hash of doc_id. A doc_id with several labels counts with the largest, one with
-    several texts with each of them; null labels and ids are left out.
+    several texts with the one of the least hash; null labels and ids are left out, a null text counts as empty.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(modulus) != held_out)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(modulus) != held_out)).groupBy("doc_id").agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
+    true = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     order = F.xxhash64("doc_id", F.lit(label))
-    picked = hash_sample(known.where("y = 1"), order, rows // 2).unionByName(hash_sample(known.where("y = 0"), order, rows - rows // 2))
+    most = {1: rows // 2, 0: rows - rows // 2}
+    picked = hash_sample(known.where("y = 1"), order, most[1]).unionByName(hash_sample(known.where("y = 0"), order, most[0]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # at most ``rows`` rows, whatever the size of labels
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return written(found, f"labelled-{label}").select("doc_id", "text", "y"), {y: n / min(n, most[y]) for y, n in true.items()}
 
 
 def sigmoid(z):
@@ -63,3 +69,15 @@ def minimise(f, x: np.ndarray, steps: int = 200, memory: int = 8) -> np.ndarray:
         if done:
             break
     return x
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The steps of the best rising fit to y: the weighted mean of x, that of y, and the weight of each. x is sorted."""
+    steps: list[list[float]] = []
+    for a, b, w in zip(x.tolist(), y.tolist(), weight.tolist(), strict=True):
+        steps.append([a * w, b * w, w])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            last = steps.pop()
+            steps[-1] = [p + q for p, q in zip(steps[-1], last, strict=True)]
+    a, b, w = np.array(steps).T
+    return a / w, b / w, w
