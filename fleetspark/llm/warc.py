@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.shared import hash_sample, new_folder, small_batches, table, written
+from fleetspark.llm.shared import hash_sample, lean, new_folder, small_batches, table, written
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC, FRAME_MAGIC, PLAIN_DICTIONARY_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -34,6 +34,7 @@ MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 LEAST_REVISIT_BYTES = 1000
 #: Compressed bytes after which a writer begins the next archive; the reader holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of the dictionary; payloads that it is learnt from, and bytes of each, from a place that its hash names.
 DICTIONARY_BYTES, DICTIONARY_PAYLOADS, DICTIONARY_PAYLOAD_BYTES = 64 << 10, 400, 16 << 10
 DATE = "1970-01-01T00:00:00Z"
 #: The high halves of record ids: ids that hold a page_id, and those of records without one.
@@ -183,18 +184,27 @@ def _filesystem(uri: str):
 
 
 def train_dictionary(pages: DataFrame, payload_column: str) -> bytes:
-    """A dictionary from a bounded sample of payloads in hash order; empty where there is too little to learn from."""
+    """A dictionary from a bounded sample of different payloads in hash order, as records.
+
+    It is trained where there is eight times its size to learn from; else it is the sample's records themselves, as
+    plain content, or without any payload an empty record.
+    """
     import zstandard
 
-    rows = pages.where(F.octet_length(payload_column) > 0)
-    picked = hash_sample(rows, F.xxhash64(payload_column), DICTIONARY_PAYLOADS)
-    samples = [bytes(r["p"]) for r in picked.select(F.substring(F.encode(F.col(payload_column), "UTF-8"), 1, DICTIONARY_PAYLOAD_BYTES).alias("p")).collect()]
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    payload, order = F.encode(F.col(payload_column).cast("string"), "UTF-8"), F.xxhash64(payload_column)
+    rows = pages.where(F.octet_length(payload_column) > 0).select(payload.alias("p"), order.alias("h"))
+    window = F.col("p").substr(F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("p") - DICTIONARY_PAYLOAD_BYTES + 1)).cast("int") + 1, F.lit(DICTIONARY_PAYLOAD_BYTES))
+    # a payload that many pages share counts once
+    picked = hash_sample(rows.select("h").distinct(), F.col("h"), DICTIONARY_PAYLOADS)
+    found = rows.join(F.broadcast(picked), "h").groupBy("h").agg(F.min(window).alias("p"))  # DICTIONARY_PAYLOADS hashes at most
+    samples = [bytes(r["p"]) for r in found.orderBy("h").collect()]
+    records = [record_bytes(i, f"http://example.org/{i}", x, _sha1(x), None) for i, x in enumerate(samples)] or [record_bytes(0, None, b"", _sha1(b""), None)]
+    if sum(map(len, records)) >= 8 * DICTIONARY_BYTES:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
+        except zstandard.ZstdError:  # records too much alike
+            pass
+    return b"".join(records)[:DICTIONARY_BYTES]
 
 
 def with_record_types(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -227,12 +237,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
 
         task = TaskContext.get()
         fs, where = _filesystem(f"{folder}/archives")
-        own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        if own:
-            own.precompute_compress(level=level)
-            packer = zstandard.ZstdCompressor(dict_data=own, write_checksum=True, write_content_size=True)
-        else:
-            packer = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
+        own = zstandard.ZstdCompressionDict(dictionary)
+        own.precompute_compress(level=level)
+        packer = zstandard.ZstdCompressor(dict_data=own, write_checksum=True, write_content_size=True)
         parts, size, count, made = [], 0, 0, 0
 
         def close():
@@ -254,7 +261,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYT
             yield close()
 
     typed = with_record_types(pages, least).withColumn("html", F.encode("html", "UTF-8"))
-    return written(typed.mapInArrow(run, "archive string, records long, bytes long"), "warc-report")
+    return written(lean(typed, run, "archive string, records long, bytes long"), "warc-report")
 
 
 def read_archives(spark: SparkSession, folder: str, report: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
@@ -315,7 +322,7 @@ def read_archives(spark: SparkSession, folder: str, report: DataFrame | None = N
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return files.mapInArrow(run, RECORDS)
+    return lean(files, run, RECORDS)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
