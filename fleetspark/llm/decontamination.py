@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetspark.llm.shared import ascii_lower, broadcast_if_small, fresh, table, written
+from fleetspark.llm.shared import ascii_lower, broadcast_if_small, each_row, fresh, table, written
 
 WINDOW = 10
 #: Separators of words, once A-Z is lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of test items that are broadcast, about 100 bytes each.
-BROADCAST_WINDOWS = 500_000
+#: Windows of test items that are broadcast, and bytes of these with all their items' ids.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Contaminated documents whose keys are broadcast to the documents.
 BROADCAST_DOCUMENTS = 200_000
 
@@ -67,7 +67,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     one = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("window")))
     d = d.select("doc_id", "text_key", "n_words", F.explode(F.concat(one, *(_windows("w", F.col("n_words"), n) for n in lengths))).alias("e"))
     d = d.select("doc_id", "text_key", "n_words", "e.pos", "e.len", "e.window")
-    found = d.join(broadcast_if_small(items.select("window", "items"), BROADCAST_WINDOWS), "window", "left").where("items IS NOT NULL OR pos = -1").drop("window")
+    size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    small = (items.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    found = d.join(broadcast_if_small(items.select("window", "items"), BROADCAST_WINDOWS if small else 0), "window", "left").where("items IS NOT NULL OR pos = -1").drop("window")
+    # rows that repeat have the same hits: counted before they meet, so that they are no hot key
+    found = found.groupBy("doc_id", "text_key", "n_words", "pos", "len", "items").agg(F.count("*").alias("rows"))
     by = Window.partitionBy("doc_id", "text_key")
     before = F.max(F.col("pos") + F.col("len")).over(by.orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.col("pos") > F.greatest(before, F.lit(0))) | (F.col("pos") >= 0) & (F.coalesce(before, F.lit(-1)) < 0)
@@ -75,7 +79,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     spans = found.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(by.orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("doc_id", "text_key", "span").agg(
         F.max("n_words").cast("long").alias("n_words"),
-        F.count(F.when(F.col("pos") == -1, 1)).alias("rows"),
+        F.sum(F.when(F.col("pos") == -1, F.col("rows"))).alias("rows"),
         F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("start"),
         F.max(F.when(F.col("pos") >= 0, F.col("pos") + F.col("len"))).alias("end"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -85,9 +89,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias("n_hit"),
         F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.sum("rows").cast("int").alias("rows"),
+        F.sum("rows").alias("rows"),
     )
-    return out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("row", "rows")
+    return each_row(out, "rows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW) -> DataFrame:

@@ -1,10 +1,11 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-A candidate is a run of token characters with a digit in it, or whatever is assigned to a credential's name. The forest
-sees the candidate's length and mix of characters, how often its characters' classes change, how much of it common words
-cover, whether it is part of a path, and the words beside it. It is trained here from labelled findings: FINDINGS
-describes kinds of secrets and of harmless look-alikes, and ``labelled_findings`` writes out a bounded number of each
-with a label, the words around them included.
+A candidate is a private key's block, a run of token characters with a digit in it, or whatever is assigned to a
+credential's name. The forest sees the candidate's length and mix of characters, its character transitions (how often one
+class of characters follows another, and how many neighbouring letters are no neighbours in common words), how much of
+it common words cover, whether it is part of a path, and the words beside it. It is trained here from labelled findings:
+FINDINGS describes kinds of secrets and of harmless look-alikes, and ``labelled_findings`` writes out a bounded number
+of each with a label, the words around them included.
 
 All of it is DataFrame functions and Spark's own machine learning; offsets come from the texts between candidates.
 """
@@ -18,14 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetspark.llm.shared import broadcast_if_small, fresh, table, written
+from fleetspark.llm.shared import broadcast_if_small, each_row, fresh, table, written
 
 #: Characters of a token, and names that a credential is assigned to.
 TOKEN = r"A-Za-z0-9+/_\-"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
 #: What stands before an assigned value. The two short look-behinds spare almost all positions the one for the name.
 ASSIGNED = rf"(?<=[:= \"'])(?<=[:=][ ]{{0,2}}[\"']?)(?i:(?<=(?:{NAMES})[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?))"
-CANDIDATE = rf"{ASSIGNED}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
+#: A private key's block: its lines, and the one that ends it where there is one.
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+[A-Za-z0-9+/=]{16,}+)*+(?:\s*+[A-Za-z0-9+/=]++(?=\s*+-----END ))?+(?:\s*+-----END [A-Z ]*PRIVATE KEY-----)?+"
+CANDIDATE = rf"{KEY_BLOCK}|{ASSIGNED}[^\s\"']{{6,}}|(?<![{TOKEN}])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{10,}}+={{0,2}}"
 #: Characters kept on either side of a candidate for the words beside it.
 CONTEXT = 80
 THRESHOLD, PLACEHOLDER = 0.5, "[SECRET]"
@@ -34,8 +37,13 @@ FINDINGS_PER_KIND, TREES, DEPTH, SEED = 150, 24, 7, 17
 #: Documents with secrets whose keys are broadcast to the documents.
 BROADCAST_DOCUMENTS = 200_000
 
-# Common English words and parts of words, for dictionary coverage.
-DICTIONARY = "the and that this with from have will your about which their would there could other after first these into time only over also people because between under never again where while world house point page home file image data user name report version example default config index main test build release document article product order number date".split()
+# Common words of English, German, French and Spanish, for dictionary coverage.
+DICTIONARY = ("the and that this with from have will your about which their would there could other after first these into time only over also people because between under never again where while world house point page home file image data user name report version example default config index main test build release document article product order number date "
+    "der die und das nicht mit sich auf ein eine auch werden aus hat dass sie nach wird bei einer noch wie einem über haben zum seite bild datei name jahr "
+    "les des est une pour que qui dans par sur pas plus avec tout faire son mais comme nous vous leur page fichier image date nom année "
+    "los las una por con para como más pero sus este entre cuando muy sin sobre ser tiene también hasta desde página archivo imagen fecha nombre año").split()
+#: Pairs of letters that stand together in these words.
+PAIRS = sorted({w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)})
 # Words beside harmless tokens.
 HARMLESS = "commit|sha1|sha256|md5|checksum|digest|uuid|guid|id|order|invoice|phone|tel|fax|isbn|card|account|version|build|revision|rev|etag|hash|ticket|issue|part|serial|model|row|page|figure|call|number|no"
 
@@ -51,6 +59,7 @@ FINDINGS = [
     ("prefix live", 1, "concat('sk_live_', b(24))", "", ""),
     ("prefix chat", 1, "concat('xoxb-', d(12), '-', b(24))", "", ""),
     ("mixed alone", 1, "b(40)", "", ""),
+    ("private key", 1, "concat('-----BEGIN PRIVATE KEY-----\\n', b(64), '\\n', b(48), '\\n-----END PRIVATE KEY-----')", "", ""),
     ("chosen word", 1, "concat(w(1), d(4), substr(b(3), 1, 3))", "password: ", ""),
     ("card", 0, "d(16)", "", ""),
     ("long number", 0, "d(12)", "order ", ""),
@@ -71,7 +80,7 @@ FINDINGS = [
     ("version", 0, "concat('release-', d(1), '-', d(2), '-', d(3), '-build')", "version ", ""),
 ]
 
-FEATURES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "variety", "hexadecimal", "covered", "in_path", "named", "assigned", "quoted", "harmless", "prefixed", "prose"]
+FEATURES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "to_digit", "to_upper", "odd_pairs", "variety", "hexadecimal", "covered", "in_path", "named", "assigned", "quoted", "harmless", "prefixed", "prose"]
 
 
 def with_features(c: DataFrame) -> DataFrame:
@@ -79,6 +88,8 @@ def with_features(c: DataFrame) -> DataFrame:
     x, n = F.col("candidate"), F.length("candidate").cast("double")
     count = lambda kind: F.length(F.regexp_replace(x, f"[^{kind}]", ""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a"), "[^0-9A-Za-z]+", "-")
+    # every two letters that are neighbours: from even and from odd places
+    letters = F.concat(*(F.regexp_extract_all(F.lower(y), F.lit("[a-z]{2}"), F.lit(0)) for y in (x, F.regexp_replace(x, "(?<![A-Za-z])[A-Za-z]", ""))))
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     return c.withColumns(
         {
@@ -88,6 +99,9 @@ def with_features(c: DataFrame) -> DataFrame:
             "lowers": count("a-z") / n,
             "marks": count("+/_=-") / n,
             "transitions": (F.length(kinds) - 1) / n,
+            "to_digit": F.regexp_count(x, F.lit("[A-Za-z](?=[0-9])")) / n,
+            "to_upper": F.regexp_count(x, F.lit("[a-z](?=[A-Z])")) / n,
+            "odd_pairs": F.size(F.filter(letters, lambda p: ~F.array_contains(F.array(*map(F.lit, PAIRS)), p))) / F.greatest(F.size(letters), F.lit(1)),
             "variety": F.size(F.array_distinct(F.split(x, ""))) / n,
             "hexadecimal": flag(x.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
             "covered": 1 - F.length(F.regexp_replace(F.lower(x), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")) / n,
@@ -102,8 +116,8 @@ def with_features(c: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND, offset: int = 0) -> DataFrame:
-    """(kind, label, candidate, before, after): per_kind of each kind of FINDINGS, made from hashes of (kind, number)."""
+def labelled_findings(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND, offset: int = 0, kinds: list[tuple] = FINDINGS) -> DataFrame:
+    """(kind, label, candidate, before, after): per_kind of each of the kinds, made from hashes of (kind, number)."""
     draws = {
         "h": "substr(concat(sha2(concat('h', {n}, s), 256), sha2(concat('g', {n}, s), 256)), 1, {n})",
         "d": "substr(translate(sha2(concat('d', {n}, s), 256), 'abcdef', '135792'), 1, {n})",
@@ -115,7 +129,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND, of
 
     parts = []
     words = "concat_ws(' ', {0}, {1}, {2})".format(*(draws["w"].replace("{n}", str(k)) for k in (7, 8, 9)))
-    for number, (kind, label, sql, before, after) in enumerate(FINDINGS):
+    for number, (kind, label, sql, before, after) in enumerate(kinds):
         sql = re.sub(r"\b([hdbuw])\((\d+)\)", lambda m: draws[m[1]].replace("{n}", m[2]), sql)
         quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
         rows = spark.range(offset, offset + per_kind, 1, 1).selectExpr(f"concat('{number}-', id) AS s")
@@ -126,9 +140,9 @@ def labelled_findings(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND, of
     return out
 
 
-def train(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND) -> RandomForestClassificationModel:
+def train(spark: SparkSession, per_kind: int = FINDINGS_PER_KIND, kinds: list[tuple] = FINDINGS) -> RandomForestClassificationModel:
     """The forest; per_kind bounds the findings it is trained from."""
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled_findings(spark, per_kind)).coalesce(1))
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled_findings(spark, per_kind, kinds=kinds)).coalesce(1))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(data.select("features", "label"))
 
 
@@ -145,11 +159,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     d = d.withColumn("last", F.expr(f"transform(c, (x, i) -> if(i = 0, '', right(c[i - 1], {CONTEXT})))"))
     d = d.select("doc_id", "text_key", F.posexplode(F.arrays_zip(F.col("c"), F.expr("slice(p, 1, size(c))").alias("b"), F.expr("slice(p, 2, size(c))").alias("a"), F.col("last"))).alias("number", "x"))
     d = d.select("doc_id", "text_key", "number", F.col("x.c").alias("candidate"), F.length("x.b").alias("gap"), F.expr(f"right(concat(x.last, right(x.b, {CONTEXT})), {CONTEXT})").alias("before"), F.substring("x.a", 1, CONTEXT).alias("after"))
-    # rows that repeat share all partitions below; each number occurs as often as the row does
-    by = Window.partitionBy("doc_id", "text_key")
-    upto = F.sum(F.col("gap") + F.length("candidate")).over(by.orderBy("number"))
-    rows = F.count("*").over(Window.partitionBy("doc_id", "text_key", "number"))
-    return d.withColumn("start", (upto / rows).cast("long") - F.length("candidate")).select("doc_id", "text_key", "number", "start", "candidate", "before", "after")
+    # rows that repeat have the same candidates: counted before they meet, so that they are no hot key
+    d = d.groupBy("doc_id", "text_key", "number", "candidate", "gap", "before", "after").agg(F.count("*").alias("rows"))
+    upto = F.sum(F.col("gap") + F.length("candidate")).over(Window.partitionBy("doc_id", "text_key").orderBy("number"))
+    d = d.withColumn("start", upto.cast("long") - F.length("candidate"))
+    return each_row(d, "rows").select("doc_id", "text_key", "number", "start", "candidate", "before", "after")
 
 
 def find(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,7 +179,11 @@ def find(docs: DataFrame, model: RandomForestClassificationModel | None = None,
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, placeholder: str = PLACEHOLDER) -> DataFrame:
-    """docs' rows and columns, each secret in a text replaced (n_chars, where it is a column, follows). Other rows stay as they are."""
+    """docs' rows and columns, each secret in a text replaced (n_chars, where it is a column, follows).
+
+    Rows without secrets, null and empty texts stay as they are; rows that repeat, and those without a doc_id, are each
+    redacted. An empty table gives an empty result; further columns stay, whatever their names.
+    """
     doc, key, numbers, own, gaps = fresh(docs, "_doc", "_key", "_numbers", "_own", "_gaps")
     found = find(docs, model).where("secret").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.collect_set("number").alias(numbers))
     found = broadcast_if_small(written(found, "secrets"), BROADCAST_DOCUMENTS)

@@ -75,6 +75,14 @@ def hash_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
     return df.orderBy(by).limit(rows)
 
 
+def each_row(df: DataFrame, count: str) -> DataFrame:
+    """df's rows as often as ``count`` says, without that column; no array of numbers is longer than 2^16 for counts up to 2^32."""
+    step = 1 << 16
+    block, row = fresh(df, "_block", "_row")
+    df = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / step))))
+    return df.withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col(count) - F.col(block) * step)))).drop(block, row, count)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df has no column of, in any case, so that a table's further columns are never met."""
     taken, out = {c.lower() for c in df.columns}, []
