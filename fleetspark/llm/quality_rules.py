@@ -91,7 +91,6 @@ def sketches(counted: DataFrame) -> DataFrame:
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high) of every group in the sketch, by merging to wider groups where a group is small."""
     spark = sketch.sparkSession
-    sketch.createOrReplaceTempView(view := f"sketch_{id(sketch):x}")
     # one pass reads the quantiles of the three levels; a missing lang or source is a group of its own
     levels = {"own": "lang, source", "language": "lang", "all": ""}
     parts = []
@@ -102,9 +101,9 @@ def fences(sketch: DataFrame) -> DataFrame:
                  min(CASE WHEN 4 * upto >= total THEN value END) AS q25, min(CASE WHEN 4 * upto >= 3 * total THEN value END) AS q75
           FROM (SELECT {keys}measure, CASE WHEN bucket = 0 THEN 0D ELSE 2 * pow({GAMMA!r}D, bucket - 1) / ({GAMMA!r}D + 1) END AS value,
                        sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total
-                FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM {view} GROUP BY {keys}measure, bucket))
+                FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM {{sketch}} GROUP BY {keys}measure, bucket))
           GROUP BY {keys}measure""")
-    q = spark.sql(" UNION ALL ".join(parts))
+    q = spark.sql(" UNION ALL ".join(parts), sketch=sketch)
     own, lang, every = (q.where(F.col("level") == level) for level in levels)
     pick = lambda c: F.when(F.col("o.total") >= LEAST_GROUP, F.col(f"o.{c}")).when(F.col("l.total") >= LEAST_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
     joined = (
