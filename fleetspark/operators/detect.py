@@ -1,7 +1,8 @@
 """Detection: smooth each unit, measure how far units of a container drift apart, and flag units that leave both others.
 
 Everything is partitioned by container: dealing the rows out by container_id first gives one exchange for smoothing,
-pivot and pair windows together.
+pivot and pair windows together. That is best for many containers. For few and long ones ``chunk_minutes`` deals a
+container's time out in chunks, with the same rows as a result; what is used twice is then written once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetspark.functions.chunks import chunk_of, in_chunk, originals, with_overlap
 from fleetspark.functions.rolling import finite, strict_distance, strict_mean
+from fleetspark.sources.storage import cut_lineage
 
 # Fixed values of the interface, as are the columns' names: units, windows, strategies with their default k.
 UNITS = (0, 1, 2)
@@ -32,8 +35,12 @@ def ingest(df: DataFrame) -> DataFrame:
     return df.select(*keys, finite(F.col("TmpRet")).alias("TmpRet")).dropna(subset=list(keys))
 
 
-def smoothed(df: DataFrame, window: int = SMOOTH_WINDOW, ties: tuple[str, ...] = ("TmpRet",)) -> DataFrame:
+def smoothed(df: DataFrame, window: int = SMOOTH_WINDOW, ties: tuple[str, ...] = ("TmpRet",), chunk_minutes: int | None = None) -> DataFrame:
     """TmpRet_smooth: the mean of a unit's own last rows, null until there are that many and none of them null. Rows of one time come in the order of ties."""
+    if chunk_minutes:
+        keys, order = ["container_id", "unit"], ["timestamp_et", *ties]
+        x = with_overlap(df, keys, order, chunk_of("timestamp_et", chunk_minutes), window - 1)
+        return originals(x.withColumn("TmpRet_smooth", strict_mean(F.col("TmpRet"), window, in_chunk(keys, order))))
     return df.withColumn("TmpRet_smooth", strict_mean(F.col("TmpRet"), window, Window.partitionBy("container_id", "unit").orderBy("timestamp_et", *ties)))
 
 
@@ -42,14 +49,27 @@ def pivoted(df: DataFrame, value: str = "TmpRet_smooth", units=UNITS) -> DataFra
     return df.where(F.col(value).isNotNull()).groupBy("container_id", "timestamp_et").agg(*(F.avg(F.when(F.col("unit") == u, F.col(value))).alias(f"u{u}") for u in units))
 
 
-def wide_distances(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, units=UNITS) -> DataFrame:
-    """container_id, timestamp_et, and for each pair d<i>_<j> (its rolling distance) and has_<i>_<j> (whether the container has both units)."""
-    wide = pivoted(smoothed(ingest(df).repartition("container_id"), smooth_window), units=units)
+def _present(wide: DataFrame, columns: list[str], chunked: bool) -> DataFrame:
+    """wide with has_<column>: whether the container has a value in it at any time."""
+    if chunked:
+        there = wide.groupBy("container_id").agg(*((F.count(c) > 0).alias(f"has_{c}") for c in columns))  # a row a container
+        return wide.join(there, "container_id")
     own = Window.partitionBy("container_id")
-    by_time = own.orderBy("timestamp_et")
-    there = {u: F.count(f"u{u}").over(own) > 0 for u in units}
-    distances = [strict_distance(F.col(f"u{i}"), F.col(f"u{j}"), dist_window, by_time).alias(f"d{i}_{j}") for i, j in pairs(units)]
-    return wide.select("container_id", "timestamp_et", *distances, *((there[i] & there[j]).alias(f"has_{i}_{j}") for i, j in pairs(units)))
+    return wide.select("*", *((F.count(c).over(own) > 0).alias(f"has_{c}") for c in columns))
+
+
+def wide_distances(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, units=UNITS, chunk_minutes: int | None = None) -> DataFrame:
+    """container_id, timestamp_et, and for each pair d<i>_<j> (its rolling distance) and has_<i>_<j> (whether the container has both units)."""
+    if chunk_minutes:
+        wide = cut_lineage(pivoted(smoothed(ingest(df), smooth_window, chunk_minutes=chunk_minutes), units=units))
+        x = with_overlap(wide, ["container_id"], ["timestamp_et"], chunk_of("timestamp_et", chunk_minutes), dist_window - 1)
+        by_time = in_chunk(["container_id"], ["timestamp_et"])
+    else:
+        x = pivoted(smoothed(ingest(df).repartition("container_id"), smooth_window), units=units)
+        by_time = Window.partitionBy("container_id").orderBy("timestamp_et")
+    x = x.withColumns({f"d{i}_{j}": strict_distance(F.col(f"u{i}"), F.col(f"u{j}"), dist_window, by_time) for i, j in pairs(units)})
+    x = _present(originals(x) if chunk_minutes else x, [f"u{u}" for u in units], bool(chunk_minutes))
+    return x.select("container_id", "timestamp_et", *(f"d{i}_{j}" for i, j in pairs(units)), *((F.col(f"has_u{i}") & F.col(f"has_u{j}")).alias(f"has_{i}_{j}") for i, j in pairs(units)))
 
 
 def _long(wide: DataFrame, units=UNITS) -> DataFrame:
@@ -57,9 +77,9 @@ def _long(wide: DataFrame, units=UNITS) -> DataFrame:
     return wide.selectExpr("container_id", "timestamp_et", f"stack({len(pairs(units))}, {rows}) AS (pair, distance, has)").where("has").drop("has")
 
 
-def compute_pairwise_distances(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, units=UNITS) -> DataFrame:
+def compute_pairwise_distances(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, units=UNITS, chunk_minutes: int | None = None) -> DataFrame:
     """container_id, timestamp_et, pair ("0_1"), distance: of each pair of units that the container has, at every time that any unit has a smoothed value."""
-    return _long(wide_distances(df, smooth_window, dist_window, units), units)
+    return _long(wide_distances(df, smooth_window, dist_window, units, chunk_minutes), units)
 
 
 def check_strategy(strategy: str) -> None:
@@ -67,13 +87,16 @@ def check_strategy(strategy: str) -> None:
         raise ValueError(f"Unknown strategy: {strategy!r}. Use one of {', '.join(map(repr, STRATEGIES))}.")
 
 
-def thresholds(distances: DataFrame, strategy: str = "mad", k: float | None = None) -> DataFrame:
-    """container_id, threshold, strategy: over all distances of a container, whatever their pair; null for a container without any."""
+def thresholds(distances: DataFrame, strategy: str = "mad", k: float | None = None, chunked: bool = False) -> DataFrame:
+    """container_id, threshold, strategy: over all distances of a container, whatever their pair; null for a container without any.
+
+    chunked: medians are aggregated and joined instead of a window, so that a container isn't one task.
+    """
     check_strategy(strategy)
     k = STRATEGIES[strategy] if k is None else k
     d = distances.where("container_id IS NOT NULL").select("container_id", F.when(~F.isnan("distance"), F.col("distance")).alias("x"))
     if strategy == "mad":
-        d = d.withColumn("m", F.median("x").over(Window.partitionBy("container_id")))
+        d = d.join(d.groupBy("container_id").agg(F.median("x").alias("m")), "container_id") if chunked else d.withColumn("m", F.median("x").over(Window.partitionBy("container_id")))
         limit: Column = F.max("m") + float(k) * F.median(F.abs(F.col("x") - F.col("m"))) * MAD_SCALE
     elif strategy == "iqr":
         q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
@@ -113,17 +136,19 @@ def flag_anomalies(distances: DataFrame, strategy: str = "mad", k: float | None
     return _flags(wide, limits, strategy, units), limits
 
 
-def detect(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, strategy: str = "mad", k: float | None = None, units=UNITS) -> tuple[DataFrame, DataFrame]:
+def detect(df: DataFrame, smooth_window: int = SMOOTH_WINDOW, dist_window: int = DISTANCE_WINDOW, strategy: str = "mad", k: float | None = None, units=UNITS, chunk_minutes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """flag_anomalies of compute_pairwise_distances, without the way through the long form."""
     check_strategy(strategy)
-    wide = wide_distances(df, smooth_window, dist_window, units)
-    limits = thresholds(_long(wide, units), strategy, k)
+    wide = wide_distances(df, smooth_window, dist_window, units, chunk_minutes)
+    if chunk_minutes:
+        wide = cut_lineage(wide)
+    limits = thresholds(_long(wide, units), strategy, k, bool(chunk_minutes))
+    distances = [f"d{i}_{j}" for i, j in pairs(units)]
     some = F.lit(False)
-    own = Window.partitionBy("container_id")
-    for i, j in pairs(units):
-        some = some | F.col(f"d{i}_{j}").isNotNull()
-    wide = wide.where(some).select("container_id", "timestamp_et", *(f"d{i}_{j}" for i, j in pairs(units)), *((F.count(f"d{i}_{j}").over(own) > 0).alias(f"has_{i}_{j}") for i, j in pairs(units)))
-    return _flags(wide, limits, strategy, units), limits
+    for d in distances:
+        some = some | F.col(d).isNotNull()
+    wide = _present(wide.where(some).select("container_id", "timestamp_et", *distances), distances, bool(chunk_minutes))
+    return _flags(wide.withColumnsRenamed({f"has_{d}": f"has_{d[1:]}" for d in distances}), limits, strategy, units), limits
 
 
 def unit_scores(flags: DataFrame, units=UNITS) -> DataFrame:

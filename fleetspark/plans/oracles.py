@@ -169,6 +169,9 @@ ORACLES: dict[str, str] = {
     "flag_units_iqr": flags_query("iqr", 0),
     "flag_units_default_k": flags_query("mad", 3),
     "flag_units_gappy": flags_query("mad", 1, GAPPY, GAPPY_SMOOTH, GAPPY_DISTANCE),
+    "pairwise_distances_chunked": rounded("container_id, timestamp_et, pair", "distance", long()),
+    "flag_units_chunked": flags_query("mad", 1),
+    "flag_units_gappy_chunked": flags_query("mad", 1, GAPPY, GAPPY_SMOOTH, GAPPY_DISTANCE),
     "flag_counts": f"SELECT container_id, unit, count(*)::BIGINT AS rows, sum(anomaly_flag::INTEGER)::BIGINT AS flagged FROM {flags('mad', 1)} GROUP BY ALL",
     "charge_pattern": f"SELECT container_id::BIGINT AS container_id, unit::BIGINT AS unit, pos::INTEGER AS pos, round(pattern, 6) AS pattern FROM {CHARGE}",
     "normal_unit": NORMAL,

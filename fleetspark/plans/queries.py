@@ -69,6 +69,14 @@ def _flags(strategy, k, view=sensor_dense, windows=(SMOOTH, DISTANCE)):
     return lambda spark, d: rounded(detect.detect(view(spark, d), *windows, strategy, k)[0])
 
 
+def _pairs_chunked(spark, d):
+    return rounded(detect.compute_pairwise_distances(sensor_dense(spark, d), SMOOTH, DISTANCE, chunk_minutes=100))
+
+
+def _flags_chunked(view, windows, minutes):
+    return lambda spark, d: rounded(detect.detect(view(spark, d), *windows, "mad", 1, chunk_minutes=minutes)[0])
+
+
 def _flags_of_long(spark, d):
     return rounded(detect.flag_anomalies(detect.compute_pairwise_distances(sensor_dense(spark, d), SMOOTH, DISTANCE), "mad", 1)[0])
 
@@ -252,6 +260,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flag_units_iqr": _flags("iqr", 0),
     "flag_units_default_k": _flags("mad", None),
     "flag_units_gappy": _flags("mad", 1, sensor_gappy, (GAPPY_SMOOTH, GAPPY_DISTANCE)),
+    "pairwise_distances_chunked": _pairs_chunked,
+    "flag_units_chunked": _flags_chunked(sensor_dense, (SMOOTH, DISTANCE), 100),
+    "flag_units_gappy_chunked": _flags_chunked(sensor_gappy, (GAPPY_SMOOTH, GAPPY_DISTANCE), 720),
     "flag_counts": _flag_counts,
     "charge_pattern": _charge,
     "normal_unit": _normal,

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from fleetspark.functions.chunks import chunk_of, in_chunk, with_overlap
 from fleetspark.functions.rolling import rolling_euclidean_distance
 from fleetspark.operators import detect
 from fleetspark.operators.baselines import zscores
@@ -173,3 +174,29 @@ def test_other_units(spark):
     rows = [(0, at(m), u, 50.0 + (9 if u == 3 and m > 20 else 0) + 0.01 * math.sin(m * (u + 1))) for u in range(4) for m in range(60)]
     flags, _ = detect.detect(spark.createDataFrame(rows, schemas.SENSOR), 2, 5, "iqr", 0, units=(0, 1, 2, 3))
     assert "dist_3" in flags.columns and flags.where("unit = 3 AND anomaly_flag").count() > 0
+
+
+@pytest.mark.parametrize("minutes", [3, 7, 1000])
+def test_chunks_give_the_same_rows(spark, minutes):
+    """Gaps longer than chunks, units with rows of their own, ties: chunks shorter than the windows and longer than the series."""
+    rows = [(c, at(m), u, float((m * 7 + u * 3 + c) % 11)) for c in (0, 1) for u in range(3) for m in range(60) if (m * 5 + u) % 7 and not 20 < m < 31] + [(0, at(5), 0, 1.0), (0, at(40), 1, None), (1, at(33), 2, float("nan"))]
+    df = spark.createDataFrame(rows, schemas.SENSOR)
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(detect.smoothed(df, 4, chunk_minutes=minutes), detect.smoothed(df, 4))
+    tidy = lambda x: x.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in x.dtypes))
+    for strategy in ("mad", "iqr"):
+        for a, b in zip(detect.detect(df, 3, 5, strategy, 1, chunk_minutes=minutes), detect.detect(df, 3, 5, strategy, 1), strict=True):
+            assert same(tidy(a), tidy(b))
+
+
+def test_one_long_container_is_many_tasks(spark):
+    rows = spark.range(3 * 20_000).select(F.lit(1).cast("long").alias("container_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id div 3 AS int))").alias("timestamp_et"), (F.col("id") % 3).alias("unit"), (F.col("id") % 17).cast("double").alias("TmpRet"))
+    chunked = detect.wide_distances(rows, SMOOTH, DISTANCE, chunk_minutes=500)
+    full = lambda x: x.groupBy(F.spark_partition_id()).count().count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        x = with_overlap(rows, ["container_id", "unit"], ["timestamp_et"], chunk_of("timestamp_et", 500), SMOOTH - 1)
+        dealt = x.withColumn("m", F.avg("TmpRet").over(in_chunk(["container_id", "unit"], ["timestamp_et"]).rowsBetween(-1, 0)))
+        assert full(dealt) >= 4 and chunked.count() == 20_000 - SMOOTH + 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
