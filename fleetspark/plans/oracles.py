@@ -152,6 +152,20 @@ MIXED_ROWS = [(0, u, 0, 0, 0, None) for u in range(3)] + [(1, u, 300 * (u == 2),
 SCORED = f"""(SELECT *, CASE unit WHEN 0 THEN CASE WHEN dist_1 IS NOT NULL AND dist_2 IS NOT NULL THEN least(dist_1, dist_2) END WHEN 1 THEN CASE WHEN dist_0 IS NOT NULL AND dist_2 IS NOT NULL THEN least(dist_0, dist_2) END
   ELSE CASE WHEN dist_0 IS NOT NULL AND dist_1 IS NOT NULL THEN least(dist_0, dist_1) END END AS score FROM {flags("mad", 1)})"""
 
+# squaring the covariance, its trace kept at 1, leads to the projection on the first principal component
+PCA = f"""
+WITH RECURSIVE m AS (SELECT * FROM (SELECT container_id, timestamp_et, {", ".join(f"avg(TmpRet) FILTER (unit = {u}) AS u{u}" for u in range(3))} FROM {DENSE} GROUP BY ALL) WHERE u0 + u1 + u2 IS NOT NULL),
+means AS (SELECT avg(u0) AS m0, avg(u1) AS m1, avg(u2) AS m2 FROM m),
+it AS (
+  SELECT 0 AS k, covar_pop(u0, u0) / t AS a, covar_pop(u0, u1) / t AS b, covar_pop(u0, u2) / t AS c, covar_pop(u1, u1) / t AS d, covar_pop(u1, u2) / t AS e, covar_pop(u2, u2) / t AS f
+  FROM m, (SELECT var_pop(u0) + var_pop(u1) + var_pop(u2) AS t FROM m) GROUP BY t
+  UNION ALL
+  SELECT k + 1, (a * a + b * b + c * c) / t, (a * b + b * d + c * e) / t, (a * c + b * e + c * f) / t, (b * b + d * d + e * e) / t, (b * c + d * e + e * f) / t, (c * c + e * e + f * f) / t
+  FROM (SELECT *, a * a + d * d + f * f + 2 * (b * b + c * c + e * e) AS t FROM it WHERE k < 60)),
+p AS (SELECT * FROM it WHERE k = 60)
+SELECT container_id, timestamp_et, round(greatest(x * x + y * y + z * z - (a * x * x + d * y * y + f * z * z + 2 * (b * x * y + c * x * z + e * y * z)), 0), 6) AS score
+FROM (SELECT container_id, timestamp_et, u0 - m0 AS x, u1 - m1 AS y, u2 - m2 AS z FROM m, means), p"""
+
 ORACLES: dict[str, str] = {
     "rolling_mean_smooth": rounded("container_id, timestamp_et, unit", "TmpRet, TmpRet_smooth", smooth(DENSE, SMOOTH)),
     "rolling_distance": f"""
@@ -205,4 +219,9 @@ ORACLES: dict[str, str] = {
     "score_overlay": f"SELECT container_id, 'unit ' || unit AS trace, 'y' AS axis, timestamp_et AS x, round(TmpRet, 6) AS y FROM {DENSE} UNION ALL SELECT container_id, 'score of unit ' || unit, 'y2', timestamp_et, round(score, 6) FROM {SCORED}",
     "flagged_series": f"SELECT s.container_id, s.unit, s.timestamp_et, round(s.TmpRet, 6) AS TmpRet, f.unit IS NOT NULL AS flagged FROM {DENSE} s LEFT JOIN (SELECT container_id, unit, timestamp_et FROM {flags('mad', 1)} WHERE anomaly_flag) f ON s.container_id = f.container_id AND s.unit = f.unit AND s.timestamp_et = f.timestamp_et",
     "grouped_bars": f"SELECT \"group\", metric, round(value, 6) AS value FROM (SELECT value AS \"group\", 'auc_pr' AS metric, auc_pr AS value FROM {metrics(STRATA, 'n_chars', 'toxic', 'stratum, value')} WHERE stratum = 'lang' UNION ALL SELECT value, 'auc_roc', auc_roc FROM {metrics(STRATA, 'n_chars', 'toxic', 'stratum, value')} WHERE stratum = 'lang') WHERE value IS NOT NULL",
+    "missing_distances": f"SELECT container_id, pair, count(*) AS n, count(*) FILTER (distance IS NULL) AS missing FROM {long(GAPPY, GAPPY_SMOOTH, GAPPY_DISTANCE)} GROUP BY ALL",
+    "self_distances": f"SELECT unit, bool_and(CASE unit WHEN 0 THEN dist_0 WHEN 1 THEN dist_1 ELSE dist_2 END = 0) AS all_zero, count(CASE unit WHEN 0 THEN dist_0 WHEN 1 THEN dist_1 ELSE dist_2 END) AS n FROM {flags('mad', 1)} GROUP BY unit",
+    "first_rows": f"SELECT container_id, timestamp_et, unit, TmpRet FROM {DENSE} ORDER BY timestamp_et, unit, container_id LIMIT 25",
+    "csv_round_trip": rounded("container_id, timestamp_et, unit", "TmpRet", DENSE),
+    "pca_error": PCA,
 }

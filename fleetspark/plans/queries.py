@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from fleetspark.functions.rolling import rolling_euclidean_distance
 from fleetspark.operators import baselines, detect, evaluate, inject, report
 from fleetspark.sources import generate, loaders, schemas
 from fleetspark.sources.fixtures import sensor_dense, sensor_gappy, table
+from fleetspark.sources.storage import shared_folder
 
 SMOOTH, DISTANCE = 5, 30
 GAPPY_SMOOTH, GAPPY_DISTANCE = 2, 4
@@ -233,6 +235,27 @@ def _bars(spark, d):
     return rounded(report.grouped_bars(evaluate.metric_breakdown(labelled_documents(spark, d), ("lang",), "n_chars", "toxic"), "value"))
 
 
+def _missing(spark, d):
+    pairs = detect.compute_pairwise_distances(sensor_gappy(spark, d), GAPPY_SMOOTH, GAPPY_DISTANCE)
+    return pairs.groupBy("container_id", "pair").agg(F.count("*").alias("n"), F.count_if(F.col("distance").isNull()).alias("missing"))
+
+
+def _self_distances(spark, d):
+    flags = detect.detect(sensor_dense(spark, d), SMOOTH, DISTANCE, "mad", 1)[0]
+    own = F.coalesce(*(F.when(F.col("unit") == u, F.col(f"dist_{u}")) for u in detect.UNITS))
+    return flags.groupBy("unit").agg(F.bool_and(own == 0).alias("all_zero"), F.count(own).alias("n"))
+
+
+def _first_rows(spark, d):
+    return sensor_dense(spark, d).orderBy("timestamp_et", "unit", "container_id").limit(25)  # the first rows are the feature
+
+
+def _csv(spark, d):
+    where = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    loaders.write_csv(sensor_dense(spark, d), where)
+    return rounded(loaders.read_csv(spark, where, schemas.SENSOR))
+
+
 def _iforest(spark, d):
     return baselines.isolation_forest(sensor_dense(spark, d))
 
@@ -296,6 +319,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_overlay": _overlay,
     "flagged_series": _flagged,
     "grouped_bars": _bars,
+    "missing_distances": _missing,
+    "self_distances": _self_distances,
+    "first_rows": _first_rows,
+    "csv_round_trip": _csv,
     "iforest_scores": _iforest,
     "pca_error": _pca,
 }
