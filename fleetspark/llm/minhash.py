@@ -234,17 +234,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node of the links (a, b): the least node reachable. Large-star and small-star steps until nothing changes."""
+    """(node, component) of every node of the links (a, b): the least node reachable. Large-star and small-star steps until nothing changes.
+
+    A step never has more edges than the links. While these are few, nodes' least neighbours, which are aggregated before
+    they are shuffled, are broadcast to the edges, so that a node with most of them is no hot key.
+    """
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), f"{name}-edges")
     before = None
+    few = edges.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
+    sent = F.broadcast if few else lambda df: df  # two nodes an edge at most; else Spark splits skewed partitions
     while True:
         # large star: a node's larger neighbours go to its least neighbour or itself
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        large = both.where("u > v").join(sent(least), "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         # small star: a node and its smaller neighbours go to the least of these
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
+        small = large.join(sent(least), "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         edges = written(small.where("u <> v").distinct(), f"{name}-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
