@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from fleetspark.llm.shared import broadcast_if_small, lean, small_batches, table, written
 
 SEQUENCE_LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Words, and pieces of words, whose ids a task remembers; its memory starts anew beyond that. Speed only.
-REMEMBERED = 150_000
+#: Words whose ids a task remembers, and pieces of words whose ids a worker remembers; memories start anew beyond that. Speed only.
+REMEMBERED = 200_000
 #: Input partitions whose places in the stream are broadcast, 12 bytes each.
 BROADCAST_PARTS = 1_000_000
 
@@ -117,7 +117,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One a Python worker, which Spark uses for task after task; tasks forget the words when they end."""
+    """One a Python worker, which Spark uses for task after task; tasks forget whole words when they end."""
     return Encoder(path)
 
 
@@ -137,7 +137,6 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column(0), pa.array(n), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "tokens", "ids"])
         encode.words.clear()
-        encode.pieces.clear()
 
     return lean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")), run, "part int, place long, doc_id long, tokens long, ids binary")
 
