@@ -232,8 +232,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     span, shift = F.col("hi") - F.col("lo"), F.col("place") - F.col("lo")
     classes = found.groupBy("anchor", "own", span.alias("span"), shift.alias("shift")).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("one"))
     classes = written(classes, "suffix-classes")
-    whole = found.join(classes.where("n > 1").select("anchor", "own", "span", "shift"), (found["anchor"] == classes["anchor"]) & (found["own"] == classes["own"]) & (span == classes["span"]) & (shift == classes["shift"]), "left_semi")
-    whole = whole.select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    # a class of one names its run; all others are taken by leaving these out, so that a class with many copies is no hot key
+    alone = classes.where("n = 1").select("one.k1", "one.k2", "one.lo")
+    whole = found.join(alone, ["k1", "k2", "lo"], "left_anti").select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("fewest")).where("classes > 1 AND fewest = 1").select("anchor", "classes")
     wanted = classes.join(mixed, "anchor").select("one.k1", "one.k2", F.struct("anchor", "classes", "n", F.col("one.lo").alias("lo"), "span", "shift").alias("segment"))
     wanted = written(wanted.groupBy("k1", "k2").agg(F.collect_list("segment").alias("segments")), "suffix-wanted")  # a text's own segments
