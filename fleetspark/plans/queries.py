@@ -202,8 +202,11 @@ def _chance(spark, d):
 
 
 def _days_per_method(spark, d):
+    """What holds of every results table: each metric lies within 0 and 1, and is null just where its classes leave it undefined."""
     r = _results(spark, d)
-    return r.groupBy("method").agg(F.max("positives").alias("positives"), F.max("negatives").alias("negatives"), F.count_if(F.col("auc_pr").between(0, 1) & F.col("auc_roc").between(0, 1)).alias("within"))
+    positives, negatives = (F.coalesce(c, F.lit(0)) > 0 for c in ("positives", "negatives"))
+    held = lambda c, defined: F.when(defined, F.coalesce(F.col(c).between(0, 1), F.lit(False))).otherwise(F.col(c).isNull())
+    return r.groupBy("method").agg(F.max("positives").alias("positives"), F.max("negatives").alias("negatives"), F.count_if(held("auc_pr", positives) & held("auc_roc", positives & negatives)).alias("within"))
 
 
 def _unit_day_share(spark, d):

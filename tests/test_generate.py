@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.operators import baselines, detect, evaluate, inject, report
+from fleetspark.plans import oracles, queries
 from fleetspark.sources import generate, loaders, schemas
 from fleetspark.streaming import day_maxima, flag_stream
 
@@ -109,6 +110,31 @@ def test_metrics_of_nothing(spark):
     assert all(r["auc_pr"] is None and r["auc_roc"] is None for r in evaluate.ranking_metrics(df).collect())
 
 
+@pytest.mark.parametrize(("errors", "days"), [([1, 1, 1], (8, 0)), ([0, 0, 0], (0, 8)), ([0, 1, 0], (4, 4)), ([], (None, None))])
+def test_results_table_against_sql(spark, tmp_path, errors, days):
+    """Days of one class or none leave a metric undefined, which is no value outside its range."""
+    duckdb = pytest.importorskip("duckdb")
+    t0 = dt.datetime(2024, 1, 4)  # the windows fill on the first day
+    rows = [(e, t0 + dt.timedelta(hours=6 * (e // 12), minutes=e % 12), (e // 3) % 4, "error" if errors[e // 48] else "view", 200.0 + e * e * 7 % 31) for e in range(48 * len(errors))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("event_metrics", "results_table_shape"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        found = con.sql(oracles.ORACLES[name]).select(*(duckdb.ColumnExpression(c) for c in df.columns)).fetchall()
+        got = [tuple(r) for r in df.collect()]
+        assert sorted(got, key=repr) == sorted(found, key=repr)
+    assert {(r[0], r[-1]) for r in got} == {("distance", 1), ("random", 1)} and got[0][1:3] == days
+
+
+def test_undefined_metrics_only_where_classes_say_so(spark, monkeypatch):
+    """A null or a value out of range where both classes are there is not within."""
+    rows = [("a", None, 0.5, 2, 3), ("b", 0.5, None, 2, 3), ("c", 0.5, 1.5, 2, 3), ("d", 0.5, 0.5, 2, 3), ("e", 1.0, None, 2, 0), ("f", 1.0, 0.5, 2, 0), ("g", None, None, 0, 3), ("h", None, None, None, None)]
+    monkeypatch.setattr(queries, "_results", lambda s, d: s.createDataFrame(rows, "method string, auc_pr double, auc_roc double, positives long, negatives long"))
+    got = {r["method"]: r["within"] for r in queries.QUERIES["results_table_shape"](spark, "").collect()}
+    assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1, "f": 0, "g": 1, "h": 1}
+
+
 def test_random_scorer_is_chance(spark):
     df = baselines.random_scores(spark.range(4000).withColumn("label", (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int")), "id")
     assert abs(evaluate.ranking_metrics(df, "score").first()["auc_roc"] - 0.5) < 0.03
