@@ -48,6 +48,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.groupBy(F.size("g").alias("len"), F.array_join("g", " ").alias("window")).agg(F.collect_set("item").alias("items"))
 
 
+def _sized(items: DataFrame) -> tuple[DataFrame, list[int], bool]:
+    """The windows, their lengths (one to `window`), and whether they are few enough to broadcast.
+
+    Few windows are made again from the benchmark where they are used: a table of theirs would be a small file for each
+    partition of the shuffle, and Hadoop starts a process or two for each file. More are written, for their true size.
+    """
+    size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    found = items.agg(F.collect_set("len").alias("lengths"), F.count("*").alias("n"), F.sum(size.cast("long")).alias("bytes")).first()
+    small = found["n"] <= BROADCAST_WINDOWS and (found["bytes"] or 0) <= BROADCAST_BYTES
+    return items if small else written(items, "windows"), sorted(found["lengths"]), small
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -59,17 +71,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     A null text has no words. Rows that repeat give a row each; a null doc_id stays null. An empty benchmark hits
     nothing, an empty table gives no rows. Other columns than doc_id and text are not read.
     """
-    items = written(item_windows(benchmark, window), "windows")
-    lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # one to `window`
+    items, lengths, small = _sized(item_windows(benchmark, window))
     text = F.col("text").cast("string")
     d = docs.select("doc_id", text_key(text).alias("text_key"), words_of(text).alias("w"))
     d = d.select("doc_id", "text_key", "w", F.size("w").alias("n_words"))
     one = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("window")))
     d = d.select("doc_id", "text_key", "n_words", F.explode(F.concat(one, *(_windows("w", F.col("n_words"), n) for n in lengths))).alias("e"))
     d = d.select("doc_id", "text_key", "n_words", "e.pos", "e.len", "e.window")
-    size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
-    small = (items.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
-    found = d.join(broadcast_if_small(items.select("window", "items"), BROADCAST_WINDOWS if small else 0), "window", "left").where("items IS NOT NULL OR pos = -1").drop("window")
+    items = items.select("window", "items")
+    found = d.join(F.broadcast(items) if small else items, "window", "left").where("items IS NOT NULL OR pos = -1").drop("window")
     # rows that repeat have the same hits: counted before they meet, so that they are no hot key
     found = found.groupBy("doc_id", "text_key", "n_words", "pos", "len", "items").agg(F.count("*").alias("rows"))
     by = Window.partitionBy("doc_id", "text_key")

@@ -202,3 +202,21 @@ def test_rows_that_repeat_are_counted_before_they_meet(spark):
     assert {(r["n_hit"], r["count"]) for r in found.groupBy("n_hit").count().collect()} == {(12, 4000)}
     rows = secrets.candidates(docs).groupBy("number", "start").count().collect()
     assert sorted((r["number"], r["count"]) for r in rows) == [(0, 4000), (1, 4000)] and len({r["start"] for r in rows}) == 2
+
+
+def test_few_item_windows_are_no_files(spark, monkeypatch):
+    """Where partitions aren't coalesced, a table of few windows would be as many files; many windows are one, with the same rows."""
+    tables = []
+    true = decontamination.written
+    monkeypatch.setattr(decontamination, "written", lambda df, name: tables.append(name) or true(df, name))
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"a {item} b"), (2, "short item"), (3, prose(4, 40)), (4, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, "Short ITEM"), (3, None)], "item_id long, text string")
+    found = decontamination.find(docs, benchmark).collect()
+    assert tables == []
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found} == {1: (14, ["1"]), 2: (2, ["2"]), 3: (0, []), 4: (0, [])}
+    for bound in ("BROADCAST_WINDOWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, bound, 5)
+            assert sorted(decontamination.find(docs, benchmark).collect()) == sorted(found)
+    assert tables == ["windows", "windows"]
