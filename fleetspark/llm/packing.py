@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from fleetspark.llm.shared import broadcast_if_small, lean, small_batches, table, written
 
 SEQUENCE_LENGTH, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Words whose ids a task remembers, and pieces of words whose ids a worker remembers; memories start anew beyond that. Speed only.
-REMEMBERED = 200_000
+#: Words whose ids a task remembers, and pieces of words whose ids a worker remembers; beyond that the older half stays. Speed only.
+REMEMBERED = 300_000
 #: Input partitions whose places in the stream are broadcast, 12 bytes each.
 BROADCAST_PARTS = 1_000_000
 
@@ -45,6 +45,17 @@ PIECES = T.StructType(
 )
 
 
+class Memory(dict):
+    """What ``make`` gives for a key, made when the key is first looked up."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """A text's ids as little-endian 16- or 32-bit integers, equal to those of the tokenizer file.
 
@@ -68,9 +79,9 @@ class Encoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.split = regex.compile(splits[0]) if len(splits) == 1 and kinds == ["NFC", "Replace", "Lowercase"] else None
         self.level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters: dict[str, str] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.letters = Memory(lambda c: "".join(p for p, _ in self.level.pre_tokenize_str(chr(c))))
+        self.words: dict[bytes, bytes] = Memory(self.word)
+        self.pieces: dict[str, bytes] = Memory(self.piece)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -78,41 +89,28 @@ class Encoder:
     def __call__(self, text: bytes) -> bytes:
         if not self.split:
             return self.whole(text.decode())
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w.decode())
-        return b"".join([known[w] for w in words])
-
-    def word(self, word: str) -> bytes:
-        if not word.isascii() and not PLAIN.fullmatch(word) or word.isascii() and not word.isprintable():
+        ids = b"".join(map(self.words.__getitem__, text.split()))
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                for _ in range(len(memory) - REMEMBERED // 2):
+                    memory.popitem()  # the newest; frequent ones came early
+        return ids
+
+    def word(self, spelt: bytes) -> bytes:
+        word, pieces = spelt.decode(), self.pieces
+        if not (word.isprintable() if word.isascii() else PLAIN.fullmatch(word)):
             return self.whole(word)
-        word, pieces = word.lower(), self.pieces
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
+        word = word.lower()
         if word.isalpha():
-            return pieces.get(word) or self.piece(word)
-        if word[:-1].isalpha() and not word[-1].isalpha():  # most others: a word and a mark
-            return (pieces.get(word[:-1]) or self.piece(word[:-1])) + (pieces.get(word[-1]) or self.piece(word[-1]))
-        return b"".join([pieces.get(x) or self.piece(x) for x in self.split.findall(word)])
+            return pieces[word]
+        if word[:-1].isalpha():  # most others: a word and a mark
+            return pieces[word[:-1]] + pieces[word[-1]]
+        return b"".join([pieces[x] for x in self.split.findall(word)])
 
     def piece(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() else "".join([self.letter(c) for c in piece])
-        ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-        return ids
-
-    def letter(self, c: str) -> str:
-        """How the tokenizer's byte level spells a character; the visible ASCII ones are themselves."""
-        spelt = self.letters.get(c)
-        if spelt is None:
-            spelt = self.letters[c] = "".join(p for p, _ in self.level.pre_tokenize_str(c))
-        return spelt
+        """Of a piece as the tokenizer's byte level spells it: the visible ASCII characters are themselves."""
+        spelt = piece if piece.isascii() else piece.translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
 
 @functools.lru_cache(maxsize=4)
@@ -158,17 +156,23 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = SEQUENCE_L
         import numpy as np
 
         for batch in small_batches(batches):
-            out: list[list] = [[] for _ in PIECES]
-            for doc, at, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(at + start, sequence_length)
-                    length = min(n - start, sequence_length - offset)
-                    for column, x in zip(out, (doc, start, length, wide[4 * start : 4 * (start + length)], n, sequence, offset), strict=True):
-                        column.append(x)
-                    start += length
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if f.name == "ids" else pa.int64()) for x, f in zip(out, PIECES, strict=True)], PIECES.names)
+            at, n = (batch.column(i).to_numpy() for i in (1, 2))
+            ids = batch.column(3)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            data = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            wide = data.view("<u2" if len(data) == 2 * n.sum() else "<u4").astype("<u4")
+            first = at // sequence_length
+            count = (at + n - 1) // sequence_length - first + 1
+            row = np.repeat(np.arange(len(n)), count)
+            sequence = first[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            start = np.maximum(at[row], sequence * sequence_length)
+            length = np.minimum((at + n)[row], (sequence + 1) * sequence_length) - start
+            # a document's pieces follow one another, and so do the documents' ids
+            cuts = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(wide)])
+            numbers = (start - at[row], length, n[row], sequence, start - sequence * sequence_length)
+            start, length, tokens, sequence, offset = (pa.array(x) for x in numbers)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), start, length, pieces, tokens, sequence, offset], PIECES.names)
 
     return lean(placed.select("doc_id", (F.col("base") + F.col("place")).alias("at"), "tokens", "ids"), cut, PIECES)
 

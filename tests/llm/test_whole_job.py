@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("fleetspark.llm")
 
-from fleetspark.llm import secrets  # noqa: E402
+from fleetspark.llm import packing, secrets  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -38,3 +38,12 @@ def test_values_assigned_to_every_name(spark):
 def test_a_digit_far_into_a_run(spark):
     texts = {1: "ab/" * 25 + "Z9x8c7v6b5", 2: "see " + "-" * 70 + "a1b2c3d4e5 there", 3: "-" * 70 + " letters" * 9, 4: "x" * 300_000 + "1"}
     assert found_in(spark, texts) == {1: [texts[1]], 2: ["-" * 70 + "a1b2c3d4e5"], 3: [], 4: [texts[4]]}
+
+
+def test_frequent_pieces_outlast_many_rare_ones(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    encode = packing.Encoder(packing.default_tokenizer())
+    texts = ["The cat, Émile & the dog", " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}q{i}" for i in range(700)), "", "other words; a1 \u0130x", "ÿþ ÀÖ \x07 b"]
+    want = [encode.whole(t) for t in texts]
+    assert [encode(t.encode()) for t in texts] == want
+    assert max(len(encode.words), len(encode.pieces)) <= 100 and {"the", "cat", "émile", "dog"} <= encode.pieces.keys()
